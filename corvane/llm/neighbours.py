@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.shared import table, written
 
-SHARD_ROWS, BLOCK_QUERIES, LEAF, RELAX = 16_000, 10_000, 96, 1.0
+SHARD_ROWS, BLOCK_QUERIES, LEAF, RELAX = 16_000, 10_000, 384, 1.2
 MATRIX_ROWS = 1_024
 
 

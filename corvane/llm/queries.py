@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corvane.llm.bpe import op1_bpe
+from corvane.llm.decontamination import op9_decontamination
 from corvane.llm.html_text import op6_html_text
 from corvane.llm.langid import op3_language_id
 from corvane.llm.neighbours import op2_neighbours
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_html_text": op6_html_text,
     "op7_warc": op7_warc,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 
