@@ -5,6 +5,7 @@ from __future__ import annotations
 from corvane.llm.bpe import op1_bpe
 from corvane.llm.decontamination import op9_decontamination
 from corvane.llm.html_text import op6_html_text
+from corvane.llm.jaccard import op8_jaccard
 from corvane.llm.langid import op3_language_id
 from corvane.llm.neighbours import op2_neighbours
 from corvane.llm.quality import op10_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_html_text": op6_html_text,
     "op7_warc": op7_warc,
+    "op8_jaccard": op8_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }

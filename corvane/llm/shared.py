@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def bounded_pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Slices of a batch with about ``most_bytes`` of text each, and one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and held + n > most_bytes:
