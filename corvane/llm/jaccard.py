@@ -180,7 +180,7 @@ def _count_range(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(out["grp"], pa.string()), pa.array(out["r"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in _NAMES[2:])], names=_NAMES)
 
 
-SETS = "doc_id long, n long, d1 long, d2 long, prefix int, shared array<long>"
+SETS = "doc_id long, n long, d1 long, d2 long, prefix int, shared array<long>, counts array<int>"
 
 
 def _prefixes(rows: pa.Table) -> pa.Table:
@@ -217,9 +217,10 @@ def _prefixes(rows: pa.Table) -> pa.Table:
     key, doc = key[order], doc[order]
     ends = np.searchsorted(doc, np.arange(len(ids) + 1))
     shared = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key), mask=pa.array(prefix == 0))
+    counts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(prefix > 0, COORDINATES, 0))), pa.int32()), pa.array(count_vectors(key, doc, len(ids))[prefix > 0].ravel()), mask=pa.array(prefix == 0))
     return pa.table(
-        [pa.array(ids, pa.int64(), mask=null), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(prefix.astype(np.int32)), shared],
-        names=["doc_id", "n", "d1", "d2", "prefix", "shared"],
+        [pa.array(ids, pa.int64(), mask=null), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(prefix.astype(np.int32)), shared, counts],
+        names=["doc_id", "n", "d1", "d2", "prefix", "shared", "counts"],
     )
 
 
@@ -258,20 +259,24 @@ def prefix_table(docs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets are similar enough, by exact intersection."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= 75 * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    """The pairs (a, b) of ``pairs`` whose sets are similar enough, by exact intersection.
 
+    Sets travel only for pairs that their count vectors leave."""
 
-def count_vectors(shared: pa.Array) -> np.ndarray:
-    """Group counts of each document's shared shingles."""
-    ends = np.asarray(shared.offsets)
-    keys = np.asarray(shared.values)[ends[0] : ends[-1]].astype(np.uint64)
-    rows = np.repeat(np.arange(len(shared)), np.diff(ends))
-    cell = rows * COORDINATES + (mixed(keys) % np.uint64(COORDINATES)).astype(np.int64)
-    return np.bincount(cell, minlength=len(shared) * COORDINATES).reshape(len(shared), COORDINATES).astype(np.uint16)
+    def side(x: str, *columns: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+    sizes = F.col("n_a") + F.col("n_b")
+    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    some = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").filter(7 * most >= 3 * sizes).select("a", "b")
+    both = F.size(F.array_intersect("shared_a", "shared_b"))
+    return some.join(side("a", "n", "shared"), "a").join(side("b", "n", "shared"), "b").filter(100 * both >= 75 * (sizes - both)).select("a", "b")
+
+
+def count_vectors(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Group counts of each row's shingles."""
+    cell = rows.astype(np.int64) * COORDINATES + (mixed(keys.astype(np.uint64)) % np.uint64(COORDINATES)).astype(np.int64)
+    return np.bincount(cell, minlength=n * COORDINATES).reshape(n, COORDINATES).astype(np.int32)
 
 
 class CountTree:
@@ -280,7 +285,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((*points.T[:8].astype(np.int64), points.argmax(1), sizes))
-        self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
+        self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = []  # from the leaves up: (corner, smallest size, largest size)
         corner, small, large = self.points, self.sizes, self.sizes
         while len(corner) > 1:
@@ -308,7 +313,7 @@ class CountTree:
 def _bucket_pairs(rows: pa.Table) -> pa.Table:
     """Pairs of different components in a bucket that the count vectors do not rule out."""
     key, i, j, block, node, n, comp = (np.asarray(rows.column(x).combine_chunks()) for x in ("key", "i", "j", "block", "node", "n", "component"))
-    points = count_vectors(rows.column("shared").combine_chunks())
+    points = np.asarray(rows.column("counts").combine_chunks().flatten()).reshape(-1, COORDINATES)
     order = np.lexsort((node, j, i, key))
     cut = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])]))
     a, b = [], []
@@ -321,7 +326,7 @@ def _bucket_pairs(rows: pa.Table) -> pa.Table:
             continue
         tree = CountTree(points[right], n[right])
         for x in left:
-            found = right[tree.near(points[x].astype(np.int32), int(n[x]))]
+            found = right[tree.near(points[x], int(n[x]))]
             found = found[(comp[found] != comp[x]) & ((node[found] > node[x]) | across)]
             if len(found):
                 a.append(np.minimum(node[x], node[found]))
@@ -333,8 +338,8 @@ def _bucket_pairs(rows: pa.Table) -> pa.Table:
 def join_sets(sets: DataFrame) -> DataFrame:
     """(node, n, d1, d2, copies, component) of every class of equal, non-empty sets."""
     rows = sets.filter("n > 0 and doc_id is not null")
-    nodes = written(rows.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max(F.struct("prefix", "shared")).alias("p")).select("node", "n", "d1", "d2", "copies", "p.prefix", "p.shared"), "shingle-nodes")
-    open_nodes = nodes.filter("prefix > 0").select("node", "n", "prefix", "shared")
+    nodes = written(rows.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max(F.struct("prefix", "shared", "counts")).alias("p")).select("node", "n", "d1", "d2", "copies", "p.prefix", "p.shared", "p.counts"), "shingle-nodes")
+    open_nodes = nodes.filter("prefix > 0").select("node", "n", "prefix", "shared", "counts")
     bucket = open_nodes.select(F.explode(F.array_distinct(F.slice("shared", F.lit(1), F.col("prefix")))).alias("key"), "node", "n")
     hubs = bucket.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
     buckets = written(bucket.join(hubs, "key").select("key", "node", "n", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle-buckets")
@@ -347,7 +352,7 @@ def join_sets(sets: DataFrame) -> DataFrame:
     left = left.groupBy("sig", "members", "low", "high").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rest = known.select("key", "node", "n", "component").join(left, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component").join(open_nodes.select("node", "shared"), "node")
+    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component").join(open_nodes.select("node", "counts"), "node")
     # Small buckets share a task; each pair of blocks of a large one is its own key.
     parts = max(1, math.ceil(buckets.count() / PART_ROWS))
     dealt = rest.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).cast("int"))
@@ -360,7 +365,7 @@ def join_sets(sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    sets = prefix_table(docs).select("doc_id", "n", "d1", "d2", "prefix", "shared")
+    sets = prefix_table(docs).select("doc_id", "n", "d1", "d2", "prefix", "shared", "counts")
     classes = written(join_sets(sets).filter("copies > 1 or component != node").select("n", "d1", "d2", "copies", "component"), "shingle-classes")
     rows = sets.select("doc_id", "n", "d1", "d2")
     bound = max(100, rows.count() // HEAVY_SHARE)
