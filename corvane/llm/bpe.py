@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,34 @@ from corvane.llm.shared import table, texts
 
 #: The pre-tokenizer's pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Below this code point the regex module and the tokenizers library agree on letters,
-#: numbers and spaces; a text with a later one is cut by the library itself.
-AGREED_BELOW = "԰"
-MEMO_PIECES, MEMO_CHARS, HEAP_OVER = 250_000, 48, 40
+#: Below this code point all Unicode versions in use agree on letters, numbers and spaces; a text with
+#: a later one is cut by the tokenizers library itself.
+AGREED_BELOW = 0x530
+MEMO_PIECES, MEMO_CHARS, HEAP_OVER = 220_000, 48, 40
+
+
+def _ranges(category: str) -> str:
+    """The agreed characters of a category, as ranges of a character class."""
+    test = regex.compile(category)
+    inside = [test.match(chr(c)) is not None for c in range(AGREED_BELOW)] + [False]
+    starts = [c for c, x in enumerate(inside) if x and not (c and inside[c - 1])]
+    ends = [c - 1 for c, x in enumerate(inside) if c and not x and inside[c - 1]]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+def agreed_pieces() -> re.Pattern:
+    """``PIECES`` for texts of agreed characters alone: the standard module is twice as fast on plain ranges."""
+    pattern = PIECES
+    for name, category in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s")):
+        ranges = _ranges(category)
+        pattern = pattern.replace(r"\p{%s}" % name if name != "s" else r"\s", f"\0{name}")
+        pattern = pattern.replace(f"[^\0{name}", f"[^{ranges}")
+        pattern = re.sub(rf"(\[\^[^\]]*)\0{name}", lambda m: m[1] + ranges, pattern)
+        pattern = pattern.replace(f"\0{name}", f"[{ranges}]")
+    return re.compile(pattern.replace(r"\S", f"[^{_ranges(r'\s')}]"))
+
+
+BEYOND = re.compile(f"[{chr(AGREED_BELOW)}-\U0010ffff]")
 
 
 def byte_characters() -> list[str]:
@@ -47,16 +73,20 @@ def byte_characters() -> list[str]:
 
 
 class Memo(dict):
-    """Values by piece; forgets everything when it is full, so memory stays bounded."""
+    """Values by piece, in two generations: when the new one is full it becomes the old one, and what is asked for again
+    returns from there. So memory is bounded, and frequent pieces stay."""
 
     def __init__(self, make, most: int = MEMO_PIECES, chars: int = MEMO_CHARS):
         super().__init__()
-        self.make, self.most, self.chars = make, most, chars
+        self.make, self.most, self.chars, self.old = make, most, chars, {}
 
     def __missing__(self, piece):
-        value = self.make(piece)
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
         if len(piece) <= self.chars:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = value
         return value
@@ -89,14 +119,14 @@ class ForcedBoundaryBPE:
         for content, i in self.added.items():
             self.token_bytes[i] = content.encode()
         self.added_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.pieces = regex.compile(PIECES)
-        self.fragments = Memo(self._encode_fragment)
+        self.pieces = agreed_pieces()
+        self.fragments = Memo(self._encode_fragment, MEMO_PIECES // 3)
         self.memo = Memo(self._encode_piece)
         self._library = None
         self._path = path
 
     def _split(self, text: str) -> list[str]:
-        if text.isascii() or max(text) < AGREED_BELOW:
+        if not BEYOND.search(text):
             return self.pieces.findall(text)
         if self._library is None:
             from tokenizers import Tokenizer
@@ -121,7 +151,8 @@ class ForcedBoundaryBPE:
 
     def _encode_fragment(self, raw: bytes) -> bytes:
         ids = [self.byte_id[b] for b in raw]
-        return np.array(self._merged(ids) if len(ids) <= HEAP_OVER else self._merged_long(ids), "<u4").tobytes()
+        ids = self._merged(ids) if len(ids) <= HEAP_OVER else self._merged_long(ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _merged(self, ids: list[int]) -> list[int]:
         """The leftmost pair of the lowest rank is merged until no pair has a rank."""

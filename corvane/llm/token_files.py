@@ -15,17 +15,17 @@ hash; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.bpe import AGREED_BELOW, PIECES, Memo, byte_characters, default_tokenizer
+from corvane.llm.bpe import BEYOND, Memo, agreed_pieces, byte_characters, default_tokenizer
 from corvane.llm.shared import table, table_path, texts
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
@@ -47,18 +47,19 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.names = byte_characters()
-        self.pieces = regex.compile(PIECES)
+        self.names = {b: c for b, c in enumerate(byte_characters())}
+        self.pieces = agreed_pieces()
         self.memo = Memo(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        name = "".join([self.names[b] for b in piece.encode()])
-        return np.array([t.id for t in self.tokenizer.model.tokenize(name)], "<u4").tobytes()
+        name = piece.encode().decode("latin-1").translate(self.names)
+        ids = [t.id for t in self.tokenizer.model.tokenize(name)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text.isascii() or max(text) < AGREED_BELOW:
+        if not BEYOND.search(text):
             pieces = self.pieces.findall(text)
         else:
             pieces = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
