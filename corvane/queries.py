@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from corvane.suite import corpus, matching, rankings, streams  # noqa: F401
+from corvane.suite.common import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    """BM25 over the documents, best first."""
+    return QUERIES["bm25_top_k"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
