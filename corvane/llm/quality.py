@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corvane.llm.langid import fold
 from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, table, word_spans
 
-SAMPLE, DIMENSIONS, NEIGHBOURS, THRESHOLD, SHARPNESS = 6_000, 40, 25, 0.3, 4.0
+SAMPLE, DIMENSIONS, NEIGHBOURS, THRESHOLD, SHARPNESS = 6_000, 80, 25, 0.3, 4.0
 BLOCK_ROWS = 512
 
 
