@@ -24,18 +24,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ``documents`` outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.train(docs.select("doc_id", "text"), labels.filter(langid.fold(5) != 0))
-    # Whole rows pass through the scoring, so no join brings texts and scores together again.
-    rows = docs.withColumn("_text", F.col("text"))
-    kept = quality.score(rows, model, tuple(c if c != "text" else "_text" for c in docs.columns)).filter(F.col("score") >= LEAST_QUALITY)
-    return kept.withColumnRenamed("_text", "text").select(*docs.columns)
+    return quality.score(whole_rows(docs), model, ("row",)).filter(F.col("score") >= LEAST_QUALITY).select("row.*")
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(text, row): rows pass through a classifier whole, so no join brings texts and decisions together again, and no
+    column's name can clash with the classifier's."""
+    return docs.select("text", F.struct(*docs.columns).alias("row"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letter, as the classifier gives them no language."""
     model = langid.train(docs.filter(langid.fold(4) != 2))
-    rows = docs.withColumn("_text", F.col("text"))
-    kept = langid.identify(rows, model, tuple(c if c != "text" else "_text" for c in docs.columns))
-    return kept.filter(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("_text", "text").select(*docs.columns)
+    return langid.identify(whole_rows(docs), model, ("row",)).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = written(docs.filter("doc_id is not null").select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n > 1").select("doc_id", "h"), "repeated-ids")
     if again.isEmpty():
         return kept
-    first = kept.withColumn("h", hashed).join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = kept.join(again.select("doc_id", F.col("h").alias("_lowest")), "doc_id").filter(hashed == F.col("_lowest")).dropDuplicates(["doc_id"]).select(*docs.columns)
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 

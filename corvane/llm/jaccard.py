@@ -50,7 +50,7 @@ from corvane.llm.components import components
 from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, lowered, mixed, table, word_spans, written
 
 SIZE, GROUP_BYTES, KEY_BITS = 5, 8 << 20, 40
-COORDINATES, LEAF, BLOCK, PART_ROWS = 64, 32, 1_024, 40_000
+COORDINATES, LEAF, BLOCK, PART_ROWS = 64, 32, 1_024, 4_000
 META = 1 << 20
 HEAVY_SHARE = 1_000
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -352,10 +352,10 @@ def join_sets(sets: DataFrame) -> DataFrame:
     left = left.groupBy("sig", "members", "low", "high").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rest = known.select("key", "node", "n", "component").join(left, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component").join(open_nodes.select("node", "counts"), "node")
+    rest = written(rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component"), "shingle-rest")
     # Small buckets share a task; each pair of blocks of a large one is its own key.
-    parts = max(1, math.ceil(buckets.count() / PART_ROWS))
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).cast("int"))
+    parts = max(1, math.ceil(rest.count() / PART_ROWS))
+    dealt = rest.join(open_nodes.select("node", "counts"), "node").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).cast("int"))
     pairs = dealt.groupBy("part").applyInArrow(_bucket_pairs, "a long, b long").distinct()
     more = written(linked(pairs, open_nodes), "shingle-links")
     if not more.isEmpty():

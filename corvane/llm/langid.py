@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.shared import flat_bytes, table
 
@@ -127,9 +128,13 @@ def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     """Per language the texts with the smallest hashes, at most ``per_language`` in at most
     ``MOST_LANGUAGES`` languages (the commonest). Only hashes are ranked; texts are read for the chosen ids."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    key = F.xxhash64(F.col("doc_id"), F.lit(3))
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    ranked = rows.filter(F.col("lang").isin(names) if names else F.lit(False)).select("doc_id", "lang", key.alias("_k"))
+    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_003))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    names = list(sizes)
+    # Of a large language only the lowest hashes are ranked, four times as many as are wanted, so that no task gets all its rows.
+    shares = [x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, 4.0 * per_language / n)))]
+    low = (key / 1_000_003.0) <= (F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(1.0))
+    ranked = rows.filter(F.col("lang").isin(names) if names else F.lit(False)).filter(low).select("doc_id", "lang", key.alias("_k"))
     chosen = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k", "doc_id"))).filter(F.col("_r") <= per_language).select("doc_id", "_k").distinct()
     # Bounded by MOST_LANGUAGES x per_language ids.
     found = docs.join(F.broadcast(chosen), "doc_id").filter(F.col("lang").isin(names) if names else F.lit(False)).select("_k", "doc_id", "lang", F.substring("text", 1, MOST_BYTES).alias("text"))
@@ -141,17 +146,16 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> KernelMod
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: KernelModel | None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *extra, lang_pred, score) of every whole text. The score is the margin of the best
+def identify(docs: DataFrame, model: KernelModel | None, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*extra, lang_pred, score) of every whole text. The score is the margin of the best
     language brought from -1..1 to 0..1. The model is bounded, and broadcast."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select("text", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            raw = batch.column(0)
-            strings = raw.to_pylist()
+            strings = batch.column(0).to_pylist()
             data, offsets = flat_bytes(pa.array([x and x.lower() for x in strings], pa.large_string()))
             names, scores = [UNKNOWN] * len(strings), np.zeros(len(strings))
             if model is not None:
@@ -167,12 +171,10 @@ def identify(docs: DataFrame, model: KernelModel | None, extra: tuple[str, ...]
                             names[lo + k] = model.languages[best[k]]
                             scores[lo + k] = min(1.0, max(0.0, (1 + float(margins[k, best[k]])) / 2))
                     lo = hi
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*out_names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*extra, "lang_pred", "score"])
 
-    rows = docs.select("text", *extra) if "doc_id" in extra else docs.select("text", F.col("doc_id").cast("long"), *extra)
-    out_names = rows.columns[1:]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def fold(modulus: int):
@@ -183,5 +185,5 @@ def fold(modulus: int):
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(fold(4) != 2))
-    rows = identify(docs.select("doc_id", "text"), model)
+    rows = identify(docs.select(F.col("doc_id").cast("long"), "text"), model)
     return rows.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")

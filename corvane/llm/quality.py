@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.langid import fold
 from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, table, word_spans
@@ -182,8 +183,7 @@ def score(docs: DataFrame, model: LatentModel, extra: tuple[str, ...] = ("doc_id
                 scores = np.concatenate([model.scores(terms[i : i + BLOCK_ROWS], neighbours) for i in range(0, len(terms), BLOCK_ROWS)])
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(scores, pa.float64())], names=[*extra, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType())]))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
