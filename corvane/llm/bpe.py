@@ -28,14 +28,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import table, texts
+from corvane.llm.shared import bounded_pieces, table, texts, tidy
 
 #: The pre-tokenizer's pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Below this code point all Unicode versions in use agree on letters, numbers and spaces; a text with
 #: a later one is cut by the tokenizers library itself.
 AGREED_BELOW = 0x530
-MEMO_PIECES, MEMO_CHARS, HEAP_OVER = 220_000, 48, 40
+MEMO_PIECES, MEMO_CHARS, HEAP_OVER = 150_000, 48, 40
 
 
 def _ranges(category: str) -> str:
@@ -85,12 +85,15 @@ class Memo(dict):
         if value is None:
             value = self.make(piece)
         if len(piece) <= self.chars:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = value
+            self.keep(piece, value)
         return value
 
+    def keep(self, piece, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+
 
 class ForcedBoundaryBPE:
     """Encoder and decoder for one tokenizer file of the byte-level kind."""
@@ -120,7 +123,7 @@ class ForcedBoundaryBPE:
             self.token_bytes[i] = content.encode()
         self.added_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pieces = agreed_pieces()
-        self.fragments = Memo(self._encode_fragment, MEMO_PIECES // 3)
+        self.fragments = Memo(self._encode_fragment, MEMO_PIECES // 8)
         self.memo = Memo(self._encode_piece)
         self._library = None
         self._path = path
@@ -146,7 +149,7 @@ class ForcedBoundaryBPE:
         raw = piece.encode()
         at = self.cuts(raw)
         if not at:
-            return self.fragments[raw]
+            return self._encode_fragment(raw)  # the piece itself is remembered
         return b"".join([self.fragments[raw[a:b]] for a, b in zip([0, *at], [*at, len(raw)])])
 
     def _encode_fragment(self, raw: bytes) -> bytes:
@@ -256,17 +259,17 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
         piece = bpe.token_bytes.__getitem__
-        for batch in batches:
+        for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
             n, a, b = [], [], []
-            for text in texts(batch.column(1)):
+            for text in texts(some.column(1)):
                 ids = bpe.encode_bytes(text)
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 back = b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
                 b.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_tokenizer() -> str:

@@ -35,10 +35,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import SpanHasher, table, texts
+from corvane.llm.shared import SpanHasher, bounded_pieces, table, texts, tidy
 
 K1, B, THRESHOLD, REST, OVERLAP = 1.2, 0.75, 0.6, 0.2, 0.5
-BLOCK_ITEMS, MOST_ITEM_WORDS, INDEX_BYTES, PIECE_CHARS, SHINGLE = 8, 400, 16 << 20, 1 << 19, 3
+BLOCK_ITEMS, MOST_ITEM_WORDS, INDEX_BYTES, SHINGLE = 8, 400, 16 << 20, 3
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[0x80:] = True
@@ -258,31 +258,24 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
-            for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), texts(batch.column(1))
-                lo = 0
-                while lo < len(rows):
-                    hi, size = lo, 0
-                    while hi < len(rows) and (hi == lo or size + len(rows[hi]) <= PIECE_CHARS):
-                        size += len(rows[hi])
-                        hi += 1
-                    hashes, first = words(*packed(rows[lo:hi]))
-                    out = []
-                    row, item, score = retrieve(index, hashes, first)
-                    seen = -1
-                    for r, i, s in zip(row.tolist(), item.tolist(), score.tolist()):
-                        if r != seen:
-                            mine = hashes[first[r] : first[r + 1]].tolist()
-                            held_words, held_shingles, seen = set(mine), shingles(mine), r
-                        q, a = overlaps(index, i, held_shingles, held_words)
-                        if q >= OVERLAP and a >= OVERLAP:
-                            out.append((ids[lo + r], int(index.ids[i]), s, q, a))
-                    if out:
-                        columns = list(zip(*out))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-                    lo = hi
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+            for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
+                ids = some.column(0).to_pylist()
+                hashes, first = words(*packed(texts(some.column(1))))
+                out = []
+                row, item, score = retrieve(index, hashes, first)
+                seen = -1
+                for r, i, s in zip(row.tolist(), item.tolist(), score.tolist()):
+                    if r != seen:
+                        mine = hashes[first[r] : first[r + 1]].tolist()
+                        held_words, held_shingles, seen = set(mine), shingles(mine), r
+                    q, a = overlaps(index, i, held_shingles, held_words)
+                    if q >= OVERLAP and a >= OVERLAP:
+                        out.append((ids[r], int(index.ids[i]), s, q, a))
+                if out:
+                    columns = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], SCHEMA)
 

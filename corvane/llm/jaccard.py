@@ -47,9 +47,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.components import components
-from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, lowered, mixed, table, word_spans, written
+from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, lowered, mixed, table, tidy, word_spans, written
 
-SIZE, GROUP_BYTES, KEY_BITS = 5, 8 << 20, 40
+SIZE, GROUP_BYTES, KEY_BITS = 5, 4 << 20, 40
 COORDINATES, LEAF, BLOCK, PART_ROWS = 64, 32, 1_024, 4_000
 META = 1 << 20
 HEAVY_SHARE = 1_000
@@ -254,7 +254,7 @@ def prefix_table(docs: DataFrame) -> DataFrame:
         if held:
             yield group()
 
-    counted = rows.mapInArrow(groups, PACKED).groupBy("r").applyInArrow(_count_range, PACKED)
+    counted = rows.mapInArrow(tidy(groups), PACKED).groupBy("r").applyInArrow(_count_range, PACKED)
     return written(counted.groupBy("grp").applyInArrow(_prefixes, SETS), "shingle-sets")
 
 

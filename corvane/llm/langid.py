@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import flat_bytes, table
+from corvane.llm.shared import bounded_pieces, flat_bytes, table, tidy
 
 SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MOST_LANGUAGES, MOST_BYTES = 300, 24, 64, 20_000
 RIDGE, MOST_GRAMS = 1e-2, 24_000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
-BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 256
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 128
 
 
 def _codes(data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,7 +137,7 @@ def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     ranked = rows.filter(F.col("lang").isin(names) if names else F.lit(False)).filter(low).select("doc_id", "lang", key.alias("_k"))
     chosen = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k", "doc_id"))).filter(F.col("_r") <= per_language).select("doc_id", "_k").distinct()
     # Bounded by MOST_LANGUAGES x per_language ids.
-    found = docs.join(F.broadcast(chosen), "doc_id").filter(F.col("lang").isin(names) if names else F.lit(False)).select("_k", "doc_id", "lang", F.substring("text", 1, MOST_BYTES).alias("text"))
+    found = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("lang").isin(names) if names else F.lit(False)).select("_k", "doc_id", "lang", F.substring("text", 1, MOST_BYTES).alias("text"))
     return sorted((r for r in found.collect() if r["text"]), key=lambda r: (r["_k"], r["doc_id"], r["text"]))
 
 
@@ -154,27 +154,24 @@ def identify(docs: DataFrame, model: KernelModel | None, extra: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in batches:
-            strings = batch.column(0).to_pylist()
+        for some in (x for batch in batches for x in bounded_pieces(batch, "text", BLOCK_BYTES)):
+            strings = some.column(0).to_pylist()
             data, offsets = flat_bytes(pa.array([x and x.lower() for x in strings], pa.large_string()))
             names, scores = [UNKNOWN] * len(strings), np.zeros(len(strings))
             if model is not None:
-                known = np.array([bool(x) and LETTER.search(x) is not None for x in strings], bool)
-                lo = 0
-                while lo < len(strings):
-                    hi = int(np.clip(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES), lo + 1, lo + BLOCK_ROWS))
-                    hi = min(hi, len(strings))
+                known = [bool(x) and LETTER.search(x) is not None for x in strings]
+                for lo in range(0, len(strings), BLOCK_ROWS):
+                    hi = min(lo + BLOCK_ROWS, len(strings))
                     margins = model.margins(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     best = margins.argmax(1)
                     for k in range(hi - lo):
                         if known[lo + k]:
                             names[lo + k] = model.languages[best[k]]
                             scores[lo + k] = min(1.0, max(0.0, (1 + float(margins[k, best[k]])) / 2))
-                    lo = hi
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*extra, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*extra, "lang_pred", "score"])
 
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def fold(modulus: int):

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.langid import fold
-from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, table, word_spans
+from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, table, tidy, word_spans
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, THRESHOLD, SHARPNESS = 6_000, 80, 25, 0.3, 4.0
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 
 
 def _classes() -> np.ndarray:
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentMod
     key = F.xxhash64("doc_id", F.lit(10))
     # The broadcast is bounded by the sample.
     chosen = labels.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"), key.alias("key")).orderBy("key", "doc_id", "label").limit(sample)
-    rows = _terms_of(docs.join(F.broadcast(chosen), "doc_id").select("key", "label", "text")).collect()
+    rows = _terms_of(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("key", "label", "text")).collect()
     rows.sort(key=lambda r: (r["key"], r["label"], r["terms"], r["vals"]))
     return fit([(np.array(r["terms"], np.int32), np.array(r["vals"], np.float32)) for r in rows], np.array([r["label"] for r in rows], float))
 
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: LatentModel, extra: tuple[str, ...] = ("doc_id
                 scores = np.concatenate([model.scores(terms[i : i + BLOCK_ROWS], neighbours) for i in range(0, len(terms), BLOCK_ROWS)])
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(scores, pa.float64())], names=[*extra, "score"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType())]))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

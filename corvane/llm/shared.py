@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,10 +51,41 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS, ARROW_BYTES = 2_000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder. Texts can be long, so batches that go to Python are bounded first: a
+    session's own smaller bounds stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(run):
+    """A mapping of Arrow batches whose worker gives its free memory back when a task ends: workers are used again, and what
+    one stage has freed should not count against the next."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -72,7 +106,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def bounded_pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
+def bounded_pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19):
     """Slices of a batch with about ``most_bytes`` of text each, and one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, held = 0, 0
