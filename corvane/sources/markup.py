@@ -162,7 +162,7 @@ class _HtmlReader(HTMLParser):
         elif tag == "table":
             self.rows, self.cells = [], []
         elif tag == "tr" and self.cells is not None:
-            self.cells = []
+            self._end_row()
         elif tag == "pre":
             self.pre += 1
         elif tag == "li":
@@ -170,6 +170,11 @@ class _HtmlReader(HTMLParser):
         elif tag == "br":
             self.text.append("\n" if self.pre else " ")
 
+    def _end_row(self) -> None:
+        if self.cells:
+            self.rows.append(self.cells)
+        self.cells = []
+
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
@@ -180,9 +185,9 @@ class _HtmlReader(HTMLParser):
         if re.fullmatch("h[1-6]", tag):
             self.level = 0
         elif tag == "tr" and self.cells is not None:
-            self.rows.append(self.cells)
-            self.cells = []
+            self._end_row()
         elif tag == "table" and self.cells is not None:
+            self._end_row()
             self.cells = None
             if table := gfm_table([r for r in self.rows if r]):
                 self.out.block(table, self.getpos()[0])
