@@ -15,7 +15,6 @@ hash; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,20 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.bpe import BEYOND, MEMO_CHARS, Memo, agreed_pieces, default_tokenizer
+from corvane.llm.bpe import BEYOND, Memo, agreed_pieces, byte_characters, default_tokenizer
 from corvane.llm.shared import bounded_pieces, table, table_path, texts, tidy
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
+REMEMBERED = 320_000  # pieces a worker remembers, in either of two generations
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts, asked once for each distinct piece.
 
-    Pieces of a batch that are not known yet and are a space and letters go to the library in one
-    string, which it cuts into the same pieces; the others go one by one. The library's own
-    pre-tokenizer cuts texts with characters on which Unicode versions may differ; texts that hold
-    an added token go to the library whole.
+    The library's own pre-tokenizer cuts texts with characters on which Unicode versions may
+    differ; texts that hold an added token go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -48,46 +46,24 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.names = dict(enumerate(byte_characters()))
         self.pieces = agreed_pieces()
-        self.letters = re.compile(r" [^\W\d_]+")
-        self.memo = Memo(self._piece)
+        self.memo = Memo(self._piece, REMEMBERED)
 
     def _piece(self, piece: str) -> bytes:
-        return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.names))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces, from one call of the library."""
-        words = [p for p in pieces if len(p) <= MEMO_CHARS and not BEYOND.search(p) and self.letters.fullmatch(p)]
-        if not words:
-            return
-        found = self.tokenizer.encode("".join(words), add_special_tokens=False)
-        number = np.array(found.word_ids, np.int64)
-        starts = np.flatnonzero(np.diff(number, prepend=-1))
-        if len(starts) != len(words):
-            return  # cut otherwise than expected: each piece is asked for on its own
-        raw = np.array(found.ids, "<u4").tobytes()
-        ends = (4 * np.append(starts, len(number))).tolist()
-        for p, a, b in zip(words, ends, ends[1:]):
-            self.memo.keep(p, raw[a:b])
-
-    def _split(self, text: str) -> list[str]:
-        if not BEYOND.search(text):
-            return self.pieces.findall(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
-    def encode(self, rows: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if self.added.search(x) else self._split(x) for x in rows]
-        memo = self.memo
-        self._learn([p for p in set().union(*(c for c in cut if c)) if p not in memo and p not in memo.old])
-        get = memo.__getitem__
-        return [self._packed(self.tokenizer.encode(x, add_special_tokens=False).ids) if c is None else b"".join(map(get, c)) for x, c in zip(rows, cut)]
+    def __call__(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if any(x in text for x in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if BEYOND.search(text):
+            pieces = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        else:
+            pieces = self.pieces.findall(text)
+        return b"".join(map(self.memo.__getitem__, pieces))
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -99,11 +75,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = LibraryEncoder(tokenizer)
-        coder = _encoders[tokenizer]
+        encode = _encoders[tokenizer]
         part, at, end = TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
         for batch in batches:
             for some in bounded_pieces(batch, "text"):
-                rows = [x + end for x in coder.encode(texts(some.column(1)))]
+                rows = [encode(x) + end for x in texts(some.column(1))]
                 n = np.array([len(x) // 4 for x in rows], np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
