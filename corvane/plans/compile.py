@@ -9,7 +9,7 @@ expressions over these columns, whether a chunk matches and its score.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,7 +45,7 @@ class Compiled:
     matches: Column
     score: Column
     anchored: bool = False  # what matches need not have any leaf
-    predicates: list[Column] = field(default_factory=list)
+    reads_chunks: bool = False  # some part is a condition on columns of chunks
 
 
 class Compiler:
@@ -53,12 +53,13 @@ class Compiler:
         """``main`` is the field words are looked up in; with ``exact`` a word's score is shared between both."""
         self.index, self.main, self.exact = index, main, exact
         self.leaves: list[Leaf] = []
+        self.reads_chunks = False
 
     def compile(self, tree) -> Compiled:
         if tree is None:
             return Compiled([], F.lit(True), F.lit(0.0), True)
         matches, score, anchored = self._node(tree)
-        return Compiled(self.leaves, matches, score, anchored)
+        return Compiled(self.leaves, matches, score, anchored, self.reads_chunks)
 
     def _column(self, leaf: Leaf) -> Column:
         return F.col(f"s{leaf.number}")
@@ -88,7 +89,7 @@ class Compiler:
                 found = self.fuzzy_terms(word, most)
                 return self._leaf(self.main, [found])
             case q.FieldClause():
-                matches = self.index.predicate(node)
+                matches, self.reads_chunks = self.index.predicate(node), True
                 return matches, F.when(matches, 1.0).otherwise(0.0), True
             case q.Boosted(inner, by):
                 m, s, a = self._node(inner)
@@ -201,15 +202,14 @@ class Compiler:
 
 def scored(index, compiled: Compiled) -> DataFrame:
     """(parent_id, chunk_seq, score) of all chunks that match, before filters."""
-    chunks = index.chunks.select(*KEYS)
     if not compiled.leaves:
         rows = index.chunks
         return rows.filter(compiled.matches).select(*KEYS, compiled.score.cast("double").alias("score"))
     hits = leaf_scores(index, compiled.leaves)
     if compiled.anchored:
         hits = index.chunks.join(hits, list(KEYS), "left")
-    elif any("c_" in c for c in hits.columns):
-        hits = hits.join(chunks, list(KEYS))
+    elif compiled.reads_chunks:
+        hits = index.chunks.join(hits, list(KEYS))
     return hits.filter(compiled.matches).select(*KEYS, compiled.score.cast("double").alias("score"))
 
 
@@ -217,7 +217,6 @@ def leaf_scores(index, leaves: list[Leaf]) -> DataFrame:
     """One row per chunk with a posting of any leaf: a score column ``s<i>`` per leaf, null where it does not match."""
     spark = index.spark
     rows = [(leaf.number, j, leaf.field, t) for leaf in leaves for j, slot in enumerate(leaf.slots) for t in dict.fromkeys(slot)]
-    asked = spark.createDataFrame(rows, "leaf int, slot int, field string, term string")
     fields = index.field_stats()
     df_of = index.frequencies({(r[2], r[3]) for r in rows})
     terms = sorted({r[3] for r in rows})
@@ -232,7 +231,6 @@ def leaf_scores(index, leaves: list[Leaf]) -> DataFrame:
             for t in dict.fromkeys(slot):
                 df = df_of.get((leaf.field, t), 0)
                 rarity.append((leaf.number, j, leaf.field, t, scoring.idf_value(n, common if leaf.blended else df) * leaf.share, fields[leaf.field][1]))
-    del asked
     # One row per term of the query, bounded by the language's limits.
     asked = F.broadcast(spark.createDataFrame(rarity, "leaf int, slot int, field string, term string, idf double, mean double"))
     joined = postings.join(asked, ["field", "term"])
