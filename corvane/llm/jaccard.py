@@ -49,9 +49,9 @@ from pyspark.sql import functions as F
 from corvane.llm.components import components
 from corvane.llm.shared import SpanHasher, bounded_pieces, flat_bytes, lowered, mixed, table, tidy, word_spans, written
 
-SIZE, GROUP_BYTES, KEY_BITS = 5, 4 << 20, 40
+SIZE, GROUP_BYTES, KEY_BITS, MOST_BITS = 5, 4 << 20, 40, 22
 COORDINATES, LEAF, BLOCK, PART_ROWS = 64, 32, 1_024, 4_000
-META = 1 << 20
+META = 1 << 24
 HEAVY_SHARE = 1_000
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 PACKED = "grp string, r int, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary, b5 binary"
@@ -131,13 +131,10 @@ def _packed_group(name: str, ids: np.ndarray, null: np.ndarray, row: np.ndarray,
     meta = (ids, null, n, first, second, sends, distinct[~lone], times[~lone], doc[shared_rows].astype("<u2"))
     for column, value in zip(out, [name, META + int(mixed(np.array([hash_name(name)], np.uint64))[0] % np.uint64(1 << bits)), pickle.dumps(meta, 5), *[None] * 5]):
         column.append(value)
-    cuts = np.searchsorted(distinct, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
+    ranges, cuts = np.unique(distinct >> np.uint64(KEY_BITS), return_index=True)
     low40 = distinct & np.uint64((1 << KEY_BITS) - 1)
     owner = doc[begin].astype("<u2") if len(begin) else np.zeros(0, "<u2")
-    for r in range(1 << bits):
-        a, b = cuts[r], cuts[r + 1]
-        if a == b:
-            continue
+    for r, a, b in zip(ranges.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(distinct)]):
         k, one = low40[a:b], lone[a:b]
         for column, value in zip(out, [name, r, *_five(k[one]), owner[a:b][one].tobytes(), *_five(k[~one]), times[a:b][~one].astype("<u4").tobytes()]):
             column.append(value)
@@ -228,7 +225,7 @@ def prefix_table(docs: DataFrame) -> DataFrame:
     """Written table of all documents: id, set size, set digest, prefix length and shared shingles."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     splits = max(1, rows.rdd.getNumPartitions())
-    bits = int(min(16, max(6, math.ceil(math.log2(2 * splits)))))
+    bits = int(min(MOST_BITS, max(6, math.ceil(math.log2(2 * splits)))))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
