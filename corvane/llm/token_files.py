@@ -93,7 +93,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     ordered.mapInArrow(tidy(run), SCHEMA).write.options(
         **{
-            "compression": "zstd",
+            "compression": "none",  # bit-packed dictionary indexes hardly shrink further
             "parquet.writer.version": "PARQUET_2_0",
             "parquet.block.size": str(ROW_GROUP_BYTES),
             "parquet.page.size": str(PAGE_BYTES),
