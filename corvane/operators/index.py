@@ -40,12 +40,37 @@ def stemmed(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("term", fold_accents(F.col("term")).alias("folded")).mapInArrow(run, "term string, stem string")
 
 
+POSTINGS = "field string, term string, parent_id string, chunk_seq {seq}, tf int, positions array<int>, dl int"
+
+
 def field_postings(chunks: DataFrame, field: str, column: str) -> DataFrame:
-    rows = chunks.select("parent_id", "chunk_seq", words(F.col(column)).alias("w")).withColumn("dl", F.size("w"))
-    # Frequent terms are dealt by chunk too: no task has all postings of one.
-    salt = F.pmod(F.xxhash64("parent_id", "chunk_seq"), F.lit(16)).cast("int")
-    each = rows.select("parent_id", "chunk_seq", "dl", salt.alias("salt"), F.posexplode("w").alias("pos", "term"))
-    return each.groupBy("term", "salt", "parent_id", "chunk_seq", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select(F.lit(field).alias("field"), "term", "parent_id", "chunk_seq", "tf", "positions", "dl")
+    """Postings of one field. A chunk's words are grouped where the chunk is: nothing is shuffled for it."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = chunks.select("parent_id", "chunk_seq", words(F.col(column)).alias("w"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                some = batch.slice(lo, 200)
+                terms, owner, tf, places, dl = [], [], [], [], []
+                for k, held in enumerate(some.column(2).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for i, w in enumerate(held):
+                        at.setdefault(w, []).append(i)
+                    terms += at
+                    owner += [k] * len(at)
+                    dl += [len(held)] * len(at)
+                    for p in at.values():
+                        tf.append(len(p))
+                        places += p
+                ends = pa.array(np.concatenate([[0], np.cumsum(tf)]).astype(np.int32))
+                who = pa.array(owner, pa.int64())
+                columns = [pa.array([field] * len(terms), pa.string()), pa.array(terms, pa.string()), some.column(0).take(who), some.column(1).take(who), pa.array(tf, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())), pa.array(dl, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["field", "term", "parent_id", "chunk_seq", "tf", "positions", "dl"])
+
+    return rows.mapInArrow(run, POSTINGS.format(seq=chunks.schema["chunk_seq"].dataType.simpleString()))
 
 
 def write_index(chunks: DataFrame, path: str, fields: dict[str, str] | None = None, stems: bool = False) -> "SearchIndex":
