@@ -88,7 +88,12 @@ def write_index(chunks: DataFrame, path: str, fields: dict[str, str] | None = No
         # Both spellings of a stem in one chunk are one posting.
         body = plain.join(stemmed(vocabulary), "term").groupBy("stem", "parent_id", "chunk_seq", "dl").agg(F.sum("tf").cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
         postings = postings.unionByName(body.select(F.lit("body").alias("field"), F.col("stem").alias("term"), "parent_id", "chunk_seq", "tf", "positions", "dl"))
+    # Ranges are found by reading the rows once more: they are written first, so that texts are taken apart once.
+    postings.write.parquet(f"{base}/unsorted")
+    postings = spark.read.parquet(f"{base}/unsorted")
     postings.repartitionByRange("field", "term", "parent_id").sortWithinPartitions("field", "term", "parent_id", "chunk_seq").write.parquet(f"{base}/postings")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/unsorted")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     postings = spark.read.parquet(f"{base}/postings")
     postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")).sort("field", "term").write.parquet(f"{base}/terms")
     sizes = postings.groupBy("field").agg(F.sum("tf").alias("total"))
