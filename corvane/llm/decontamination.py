@@ -4,9 +4,11 @@ Test items are indexed by their words; each posting holds the word's BM25 weight
 the item over the sum of the item's weights, so that an item's own text scores 1.
 Items stand in blocks, and every list knows its largest weight in each block.
 
-Every training document is read as passages that overlap by half and are twice as
-long as the longest item, so some passage holds any item's text whole. A passage is
-a query. Words that carry the most weight of an item are its essential postings; the
+Items stand in classes by length: all up to ``SHORT_ITEM_WORDS`` words, then by doubling
+lengths without an end. For each class every training document is read as passages that
+overlap by half and are twice as long as the longest item of the class, so some passage
+holds any item's text whole, and long items do not widen the passages of short ones. Word
+statistics are those of all classes together. A passage is a query. Words that carry the most weight of an item are its essential postings; the
 rest of an item weighs less than ``REST``. A block can only reach the threshold if the
 essential block maxima that the passage hits, plus the block's largest rest, reach
 it; only items of such blocks are scored in full. All items at or over the threshold
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import SpanHasher, bounded_pieces, table, texts, tidy
 
 K1, B, THRESHOLD, REST, OVERLAP = 1.2, 0.75, 0.6, 0.2, 0.5
-BLOCK_ITEMS, MOST_ITEM_WORDS, INDEX_BYTES, SHINGLE = 8, 400, 16 << 20, 3
+BLOCK_ITEMS, SHORT_ITEM_WORDS, INDEX_BYTES, SHINGLE = 8, 400, 16 << 20, 3
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[0x80:] = True
@@ -104,18 +106,51 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return body[:at], body[at:]
 
 
-def build(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD) -> ItemIndex:
+@dataclass
+class WordStatistics:
+    """What weights need to know of all items, whichever index an item stands in."""
+
+    terms: np.ndarray  # hashes, ascending
+    df: np.ndarray
+    n_items: int
+    mean: float
+
+
+def statistics(hashes: np.ndarray, first: np.ndarray) -> WordStatistics:
+    """Of consecutive items' words."""
+    n = len(first) - 1
+    terms, term_of = np.unique(hashes, return_inverse=True)
+    pair = np.unique(term_of.astype(np.int64) * max(1, n) + np.repeat(np.arange(n), np.diff(first)))
+    return WordStatistics(terms, np.bincount(pair // max(1, n), minlength=len(terms)), n, max(1.0, len(hashes) / max(1, n)))
+
+
+def classes(lengths: np.ndarray) -> np.ndarray:
+    """The class of each length in words."""
+    return np.ceil(np.log2(np.maximum(lengths, SHORT_ITEM_WORDS) / SHORT_ITEM_WORDS)).astype(np.int64)
+
+
+def build_classes(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD) -> list[ItemIndex]:
+    """One index for each class of lengths that has items."""
+    hashes, first = words(*packed(item_texts))
+    known = statistics(hashes, first)
+    kind = classes(np.diff(first))
+    chosen = [np.flatnonzero(kind == k).tolist() for k in np.unique(kind)]
+    return [build([ids[i] for i in some], [item_texts[i] for i in some], threshold, known) for some in chosen]
+
+
+def build(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD, known: WordStatistics | None = None) -> ItemIndex:
+    """An index whose passages suit its longest item; ``known`` are statistics that cover these items and others."""
     data, offsets = packed(item_texts)
     hashes, first = words(data, offsets)
+    known = known or statistics(hashes, first)
     item_of = np.repeat(np.arange(len(ids)), np.diff(first))
     terms, term_of = np.unique(hashes, return_inverse=True)
     pair, tf = np.unique(term_of.astype(np.int64) * max(1, len(ids)) + item_of, return_counts=True)
     term, item = pair // max(1, len(ids)), pair % max(1, len(ids))
-    df = np.bincount(term, minlength=len(terms))
+    df = known.df[np.searchsorted(known.terms, terms)]
     length = np.diff(first)
-    mean = max(1.0, length.mean() if len(length) else 1.0)
-    idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
+    idf = np.log1p((known.n_items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / known.mean))
     total = np.bincount(item, weights=weight, minlength=len(ids))
     weight = weight / np.where(total > 0, total, 1)[item]
     # Blocks hold items of like length: their maxima then are close to their items' weights.
@@ -157,7 +192,7 @@ def build(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD) -
         maxima,
         block_rest,
         parts,
-        int(min(MOST_ITEM_WORDS, length.max(initial=1))),
+        int(length.max(initial=1)),
         threshold,
         block_of,
     )
@@ -237,15 +272,15 @@ def overlaps(index: ItemIndex, item: int, document: frozenset | set, document_wo
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def item_parts(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[ItemIndex]:
-    """Indexes over parts of the items with at most ``most_bytes`` of text each (one item at least)."""
+def item_parts(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[list[ItemIndex]]:
+    """Indexes by class over parts of the items with about ``most_bytes`` of text each (one item at least)."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most_bytes)
     parts = []
     for k in range(n):
         got = sorted((r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
-        parts.append(build([i for i, _ in got], [t for _, t in got]))
+        parts.append(build_classes([i for i, _ in got], [t for _, t in got]))
     return parts
 
 
@@ -253,24 +288,25 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified pair."""
     spark = docs.sparkSession
     found = None
-    for index in item_parts(items):
-        held = spark.sparkContext.broadcast(index)
+    for indexes in item_parts(items):
+        held = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+            indexes = held.value
             for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
                 ids = some.column(0).to_pylist()
                 hashes, first = words(*packed(texts(some.column(1))))
                 out = []
-                row, item, score = retrieve(index, hashes, first)
-                seen = -1
-                for r, i, s in zip(row.tolist(), item.tolist(), score.tolist()):
-                    if r != seen:
-                        mine = hashes[first[r] : first[r + 1]].tolist()
-                        held_words, held_shingles, seen = set(mine), shingles(mine), r
-                    q, a = overlaps(index, i, held_shingles, held_words)
-                    if q >= OVERLAP and a >= OVERLAP:
-                        out.append((ids[r], int(index.ids[i]), s, q, a))
+                for index in indexes:
+                    row, item, score = retrieve(index, hashes, first)
+                    seen = -1
+                    for r, i, s in zip(row.tolist(), item.tolist(), score.tolist()):
+                        if r != seen:
+                            mine = hashes[first[r] : first[r + 1]].tolist()
+                            held_words, held_shingles, seen = set(mine), shingles(mine), r
+                        q, a = overlaps(index, i, held_shingles, held_words)
+                        if q >= OVERLAP and a >= OVERLAP:
+                            out.append((ids[r], int(index.ids[i]), s, q, a))
                 if out:
                     columns = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])

@@ -475,6 +475,16 @@ def test_decontamination_cases(spark, odd, empty):
     assert decontamination.question_and_answer("What is it? A thing.") == ("What is it?", " A thing.")
 
 
+def test_decontamination_finds_long_items(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join("v%d" % x for x in rng.integers(0, 200_000, n))
+    long, middle, short = some(3_000), some(900), some(30)
+    items = spark.createDataFrame([(1, long), (2, middle), (3, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{some(700)} {long} {some(5_000)}"), (2, f"{some(1_300)} {middle} {some(400)}"), (3, f"{some(50)} {short}"), (4, some(8_000)), (5, " ".join(long.split()[:1_000]))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)} and all(np.isclose(x, 1) for x in got.values())
+
+
 # 10: quality
 
 
