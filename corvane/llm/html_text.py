@@ -9,7 +9,8 @@ A page's structure then completes the regions. Blocks inside navigation, headers
 footers, asides, forms, notices, adverts and comments are no content at any ratio.
 If a block of a region stands inside ``article`` or ``main``, that element is the
 region: its short paragraphs count too. Else the region is the smallest element
-that holds most of the region's text.
+that holds all of the content's text and more than one block, so no block that the
+ratios chose is lost, nor a title beside the only long paragraph.
 
 Cases: a null or empty page gives an empty text; markup that never closes is read to
 the end; a page without any region gives its unmarked blocks; rows are independent,
@@ -177,11 +178,27 @@ def main_text(reader: BlockReader, html: str | None) -> str:
     if outer and sum(weight[e] for e in outer) * 4 >= total:
         chosen = outer
     else:
-        # The deepest element with over half of the content's text.
-        chosen = {max((e for e in weight if 2 * weight[e] > total), default=0)}
+        # The deepest element with all of the content's text; numbers grow with depth.
+        region = max((e for e in weight if weight[e] == total), default=0)
+        # A lone block is no region: what stands beside it belongs to it.
+        held = dict.fromkeys(_above(reader, region), 0)
+        for _, _, element in blocks:
+            held[next(e for e in _above(reader, element) if e in held)] += 1
+        n = held[region]
+        while region and n < 2:
+            region = reader.parents[region]
+            n += held[region]
+        chosen = {region}
     return "\n".join([text for text, _, element in blocks if _inside(reader, element, chosen)])
 
 
+def _above(reader: BlockReader, element: int) -> Iterator[int]:
+    """The element and those it stands in, up to the page."""
+    while element >= 0:
+        yield element
+        element = reader.parents[element]
+
+
 def _inside(reader: BlockReader, element: int, chosen: set[int]) -> bool:
     while element >= 0:
         if element in chosen:

@@ -285,6 +285,21 @@ def test_main_text(html, text):
     assert html_text.main_text(html_text.BlockReader(), html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # One dominant paragraph; two sibling sections; a title far from the only long paragraph; paragraphs of one list.
+        ("<body><nav><a>x</a></nav><div><h1>T</h1><p>{0}</p><p>{1}</p></div></body>", "T\n{0}\n{1}"),
+        ("<body><div><h2>One</h2><p>{0}</p></div><div><h2>Two</h2><p>{1}</p></div><footer>f</footer></body>", "One\n{0}\nTwo\n{1}"),
+        ("<body><nav><a>x</a></nav><div><h1>T</h1><p>by A</p><p>May</p><p>in B</p><p>{0}</p></div></body>", "T\nby A\nMay\nin B\n{0}"),
+        ("<body><ul><li><p>{0}</p><li><p>{1}</p></ul></body>", "{0}\n{1}"),
+    ],
+)
+def test_main_text_without_article(html, text):
+    long, less = "long text " * 59 + "ends", "less text " * 29 + "ends"
+    assert html_text.main_text(html_text.BlockReader(), html.format(long, less)) == text.format(long, less)
+
+
 def test_html_over_pages(spark):
     rows = html_text.op6_html_text(spark, SMALL).collect()
     assert len(rows) == table(spark, SMALL, "pages").count()
