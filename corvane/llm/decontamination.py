@@ -19,7 +19,8 @@ question and answer (at its last line or question mark; else the last third of i
 is the answer), and of the 3-word shingles of either part a share of ``OVERLAP`` must occur in the document.
 
 The index is built per part of ``INDEX_BYTES`` of items at most, so what is broadcast is bounded;
-more items make more parts, each of which meets all documents.
+more items make more parts, each of which meets all documents. Word statistics are counted over
+the items of all parts, so a score does not depend on how items fall into parts.
 
 Cases: null and empty texts match nothing; items without words are never matched;
 repeated items and documents are each matched; empty tables give an empty result;
@@ -34,10 +35,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import SpanHasher, bounded_pieces, table, texts, tidy
+from corvane.llm.shared import SpanHasher, bounded_pieces, table, texts, tidy, written
 
 K1, B, THRESHOLD, REST, OVERLAP = 1.2, 0.75, 0.6, 0.2, 0.5
 BLOCK_ITEMS, SHORT_ITEM_WORDS, INDEX_BYTES, SHINGLE = 8, 400, 16 << 20, 3
@@ -129,10 +130,10 @@ def classes(lengths: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(lengths, SHORT_ITEM_WORDS) / SHORT_ITEM_WORDS)).astype(np.int64)
 
 
-def build_classes(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD) -> list[ItemIndex]:
+def build_classes(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD, known: WordStatistics | None = None) -> list[ItemIndex]:
     """One index for each class of lengths that has items."""
     hashes, first = words(*packed(item_texts))
-    known = statistics(hashes, first)
+    known = known or statistics(hashes, first)
     kind = classes(np.diff(first))
     chosen = [np.flatnonzero(kind == k).tolist() for k in np.unique(kind)]
     return [build([ids[i] for i in some], [item_texts[i] for i in some], threshold, known) for some in chosen]
@@ -272,15 +273,40 @@ def overlaps(index: ItemIndex, item: int, document: frozenset | set, document_wo
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def item_words(dealt: DataFrame) -> DataFrame:
+    """A written table (part, word, df, length): the words of each part, with the number of items of all
+    parts that hold the word, and how often the part's items do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
+            hashes, first = words(*packed(texts(some.column(1))))
+            for row, part in enumerate(some.column(0).to_pylist()):
+                word, n = np.unique(hashes[first[row] : first[row + 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), part, np.int64)), pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["part", "word", "n"])
+
+    found = dealt.select("part", "text").mapInArrow(tidy(run), "part long, word long, n long")
+    counted = found.groupBy("part", "word").agg(F.count("*").alias("df"), F.sum("n").alias("length"))
+    return written(counted.withColumn("df", F.sum("df").over(Window.partitionBy("word"))), "item-words")
+
+
 def item_parts(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[list[ItemIndex]]:
     """Indexes by class over parts of the items with about ``most_bytes`` of text each (one item at least)."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most_bytes)
-    parts = []
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n > 1 else F.lit(0).cast("long"))
+    if n > 1:
+        all_words, n_items = item_words(dealt), rows.count()
+        mean = max(1.0, (all_words.agg(F.sum("length")).first()[0] or 0) / max(1, n_items))
+    parts, known = [], None
     for k in range(n):
-        got = sorted((r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
-        parts.append(build_classes([i for i, _ in got], [t for _, t in got]))
+        got = sorted((r["item_id"], r["text"]) for r in dealt.filter(F.col("part") == k).collect())
+        if n > 1:
+            held = all_words.filter(F.col("part") == k).select("word", "df").toArrow()
+            word, df = (held.column(c).to_numpy().astype(np.int64) for c in ("word", "df"))
+            order = np.argsort(word.view(np.uint64))
+            known = WordStatistics(word.view(np.uint64)[order], df[order], n_items, mean)
+        parts.append(build_classes([i for i, _ in got], [t for _, t in got], known=known))
     return parts
 
 

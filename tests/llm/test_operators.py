@@ -500,6 +500,24 @@ def test_decontamination_finds_long_items(spark):
     assert set(got) == {(1, 1), (2, 2), (3, 3)} and all(np.isclose(x, 1) for x in got.values())
 
 
+def test_decontamination_weights_do_not_depend_on_parts(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("w%d" % x for x in rng.integers(0, 60, int(rng.integers(5, 900)))) for _ in range(40)]
+    items = spark.createDataFrame([*enumerate(texts), (40, "..."), (40, "...")], "item_id long, text string")
+
+    def weights(parts):
+        out = {}
+        for index in (x for part in parts for x in part):
+            term = np.repeat(index.terms, np.diff(index.first))
+            out.update({(int(index.ids[i]), int(t)): float(w) for i, t, w in zip(index.items, term, index.weights)})
+        return out
+
+    whole, parts = decontamination.item_parts(items), decontamination.item_parts(items, 20_000)
+    assert len(whole) == 1 and len(parts) > 3
+    want, got = weights(whole), weights(parts)
+    assert set(want) == set(got) and all(np.isclose(got[k], want[k]) for k in want)
+
+
 # 10: quality
 
 
