@@ -34,8 +34,11 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letter, as the classifier gives them no language."""
+    """Documents go that have no letter, as the classifier gives them no language; also if no
+    row names a language, so that nothing can be learned."""
     model = langid.train(docs.filter(langid.fold(4) != 2))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return langid.identify(whole_rows(docs), model, ("row",)).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 

@@ -43,6 +43,13 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(i, t, None) for i, t in enumerate(["Words of some language.", "日本", "12 345 ...", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_stage(spark, docs, DATA)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {0, 1}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None, 0, 1, "a"), (1, "The same id, another text of some words.", "en", "s", 1, 2, "b"), (2, "", "en", "s", 0, 3, "c"), (None, "A text without an id, but with words in it.", "en", None, 1, 4, "d"), (3, "The same id, another text of some words.", "en", "s", 1, 5, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, row string")
