@@ -86,48 +86,78 @@ def test_encode_and_decode_as_tables(odd):
 
 
 def brute(vectors, queries, k):
+    """``queries`` are places in ``vectors``: a row leaves out only itself."""
     out = {}
-    for q, v in queries:
-        d = sorted((float(np.sqrt(((np.array(v, float) - np.array(x, float)) ** 2).sum())), i) for i, x in vectors if i != q and len(x) == len(v))
-        out[q] = d[:k]
+    for n in queries:
+        q, v = vectors[n]
+        d = sorted((float(np.sqrt(((np.array(v, float) - np.array(x, float)) ** 2).sum())), i) for m, (i, x) in enumerate(vectors) if m != n and len(x) == len(v))
+        out.setdefault(q, []).append(d[:k])
     return out
 
 
-@pytest.mark.parametrize("relax", [1.0, 1.2])
-def test_neighbours(spark, relax):
+def lists(rows):
+    """By query id the lists of (score, vec_id) in order of rank; several queries of one id are kept apart by their order."""
+    out, n = {}, {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        out.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((r["score"], r["vec_id"]))
+    return {q: [[ranks[k][i] for k in sorted(ranks) if i < len(ranks[k])] for i in range(len(ranks[1]))] for q, ranks in out.items()}
+
+
+@pytest.mark.parametrize(("relax", "regions"), [(1.0, 1), (1.0, 8), (1.2, 8)])
+def test_neighbours(spark, relax, regions):
     rng = np.random.default_rng(3)
     vectors = [(int(i), [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(400)]
     vectors += [(1000 + i, vectors[0][1]) for i in range(60)]  # one vector many times
-    bad = [(2000, None), (2001, [0.0] * 6), (2002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6), (2005, [1.0, 2.0])]
-    frame = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1)).withColumn("rank", F.lit("x"))
-    index = neighbours.build(frame, 10, shard_rows=100)
-    got = neighbours.search(index, frame.filter("vec_id % 20 = 0"), 10, relax, block_queries=7).collect()
-    want = brute(vectors, [v for v in vectors if v[0] % 20 == 0], 10)
-    found = {}
-    for r in sorted(got, key=lambda r: r["rank"]):
-        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
-    assert set(found) == set(want)
-    hits = sum(len({i for _, i in found[q]} & {i for _, i in want[q]}) for q in want)
+    bad = [(2000, None), (2001, [0.0] * 6), (2002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6), (2005, [1.0, 2.0]), (None, vectors[20][1])]
+    frame = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("query", F.lit("x"))
+    index = neighbours.build(frame, 10, shard_rows=60, most_regions=regions)
+    got = lists(neighbours.search(index, frame.filter("vec_id % 20 = 0"), relax, block_queries=7).collect())
+    want = brute(vectors, [n for n, v in enumerate(vectors) if v[0] % 20 == 0], 10)
+    assert set(got) == set(want) and all(len(x) == 1 for x in got.values())
+    hits = sum(len({i for _, i in got[q][0]} & {i for _, i in want[q][0]}) for q in want)
     assert hits >= (1.0 if relax == 1.0 else 0.9) * 10 * len(want)
     if relax == 1.0:
         for q in want:
-            assert [i for _, i in found[q]] == [i for _, i in want[q]]
-            assert np.allclose([s for s, _ in found[q]], [s for s, _ in want[q]], rtol=1e-12)
+            assert [i for _, i in got[q][0]] == [i for _, i in want[q][0]]
+            assert np.allclose([s for s, _ in got[q][0]], [s for s, _ in want[q][0]], rtol=1e-12)
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Only a query's own row is left out: not another row with its id, whether its vector is the same or not."""
+    vectors = [(0, [1.0, 0.0])] * 3 + [(0, [0.0, 1.0])] + [(i, [1.0, 0.0]) for i in range(1, 6)] + [(20 + i, [float(i), 3.0]) for i in range(6)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = lists(neighbours.search(neighbours.build(frame, 4), frame.filter("vec_id = 0"), 1.0).collect())
+    want = brute(vectors, [0, 1, 2, 3], 4)
+    assert sorted(got[0]) == sorted(want[0])
+
+
+def test_neighbours_meet_few_regions(spark):
+    """Where distances tell regions apart, pairs of query and region grow with the queries, not with their product."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 8)) * 50
+    rows = [(int(i), [float(x) for x in centres[i % 16] + rng.normal(size=8)]) for i in range(1_600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = neighbours.build(frame, 5, shard_rows=100)
+    assert len(index.tops[8].paths) == 16
+    queries = neighbours.with_regions(neighbours.taking_part(frame.filter("vec_id % 10 = 0")), index.tops)
+    queries = queries.withColumn("query", F.col("vec_id")).withColumn("most", F.lit(10.0))
+    assert neighbours.elsewhere(index, queries, 1.0).count() < 2 * 160
 
 
 def test_neighbours_recall_on_the_table(spark):
     got = neighbours.op2_neighbours(spark, SMALL).collect()
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark, SMALL, "embeddings").collect()]
-    want = brute(rows, [r for r in rows if r[0] % 100 == 0], 10)
-    hits = sum((r["query_id"], r["vec_id"]) in {(q, i) for q, d in want.items() for _, i in d} for r in got)
+    want = brute(rows, [n for n, r in enumerate(rows) if r[0] % 100 == 0], 10)
+    hits = sum((r["query_id"], r["vec_id"]) in {(q, i) for q, d in want.items() for _, i in d[0]} for r in got)
     assert len(got) == 10 * len(want) and hits >= 0.9 * len(got)
 
 
 def test_few_or_no_neighbours(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in neighbours.search(neighbours.build(frame, 10), frame.filter("vec_id = 0"), 10).collect()] == [(0, 1, 1, 0.0)]
+    assert [tuple(r) for r in neighbours.search(neighbours.build(frame, 10), frame.filter("vec_id = 0")).collect()] == [(0, 1, 1, 0.0)]
     none = frame.limit(0)
-    assert neighbours.search(neighbours.build(none, 10), none, 10).count() == 0
+    assert neighbours.search(neighbours.build(none, 10), none).count() == 0
+    assert neighbours.search(neighbours.build(none, 10), frame).count() == 0
 
 
 # 3: language identification
@@ -270,6 +300,10 @@ ARTICLE = "<h1>Head &amp; more</h1><p>First  long paragraph\n of the text &eacut
 WANT = "Head & more\nFirst long paragraph of the text é.\nShort.\none\ntwo\nLast bold line."
 
 
+def main_text(html):
+    return html_text.main_text(html_text.LineReader(), html)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
@@ -279,10 +313,21 @@ WANT = "Head & more\nFirst long paragraph of the text é.\nShort.\none\ntwo\nLas
         (f"<html><head><title>t</title><style>x</style></head><body><header>site</header><nav><ul><li>a</ul></nav><article>{ARTICLE}</article><aside>side</aside><div class='ad'>buy now</div><section id=comments><p>A long comment by some reader of this page</section><footer>foot</footer></body>", WANT),
         (f"<body><div id='main-menu'><a>x</a></div><div class='cookie-notice'>We use cookies</div><main>{ARTICLE}<form><input><p>mail</form><div class='comments'><article><p>reader says much about it</article></div></main><script>if (a<b) x</script></body>", WANT),
         (f"<body><div class=sidebar><p>side text here</div><div class=content>{ARTICLE}</div><div class='footer'>foot</div></body>", WANT),
+        # Names of layouts, heads that are left open, sections of a paper, comments that are left open.
+        (f"<div class='layout has-sidebar'><article>{ARTICLE}</article></div>", WANT),
+        (f"<body><div class='with-sidebar'><div class=sidebar><p>side text</div><article>{ARTICLE}</article></div>", WANT),
+        (f"<div class='sidebar-layout page-footer'><div class=sidebar><p>side</div><article>{ARTICLE}</article></div>", WANT),
+        (f"<html><head><title>x</title><meta charset=utf-8><body><nav><a>q</a></nav><article>{ARTICLE}</article>", WANT),
+        (f"<html><head><title>x</title><script>1</script><article>{ARTICLE}</article>", WANT),
+        ("<head><title>x</title>Words with no tag at all.", "Words with no tag at all."),
+        ("<article><div class=article-header><h1>T</h1></div><p>One paragraph is here<section id=discussion><p>Discussed</section><section class=related-work><p>Work</section><div class=related-posts><a>p</a></div></article>", "T\nOne paragraph is here\nDiscussed\nWork"),
+        (f"<article>{ARTICLE}</article><!-- open <p>more", WANT),
+        # An advert longer than the article.
+        ("<body><div class=ad>Buy this very long thing now, it is better than all that you can read here.</div><article><h1>T</h1><p>Few words.</article>", "T\nFew words."),
     ],
 )
 def test_main_text(html, text):
-    assert html_text.main_text(html_text.BlockReader(), html) == text
+    assert main_text(html) == text
 
 
 @pytest.mark.parametrize(
@@ -297,16 +342,44 @@ def test_main_text(html, text):
 )
 def test_main_text_without_article(html, text):
     long, less = "long text " * 59 + "ends", "less text " * 29 + "ends"
-    assert html_text.main_text(html_text.BlockReader(), html.format(long, less)) == text.format(long, less)
+    assert main_text(html.format(long, less)) == text.format(long, less)
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    """Pages that mark nothing: only the ratios tell the text from the lists beside it."""
+    rng = np.random.default_rng(7)
+    some = lambda n: " ".join("w%d" % x for x in rng.integers(0, 900, n))
+    pages, want = [], []
+    for _ in range(40):
+        beside = lambda: "<div>" + "".join(f"<div><span>{some(2)}</span> <i>{some(1)}</i></div>" for _ in range(int(rng.integers(4, 9)))) + "</div>"
+        lines = [some(int(rng.integers(25, 90))) for _ in range(int(rng.integers(3, 9)))]
+        pages.append(f"<body>{beside()}<div>" + "".join(f"<p>{x}</p>" for x in lines) + f"</div>{beside()}</body>")
+        want.append("\n".join(lines))
+    assert [main_text(x) for x in pages] == want
+    monkeypatch.setattr(html_text, "ratios", lambda lines: np.ones(len(lines)))
+    assert sum(main_text(x) != w for x, w in zip(pages, want)) == 40
+
+
+def plain_article(html):
+    """The article of the table's pages by patterns alone."""
+    import html as entities
+    import re
+
+    body = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", re.search(r"(?s)<article>(.*?)</article>", html)[1])
+    lines = re.split(r"</?(?:p|h[1-6]|li|ul|div|table|tr|td|th|blockquote)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body))
+    found = (re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in lines)
+    return "\n".join(x for x in found if x)
 
 
 def test_html_over_pages(spark):
-    rows = html_text.op6_html_text(spark, SMALL).collect()
-    assert len(rows) == table(spark, SMALL, "pages").count()
+    data = "/root/testdata/sf0.01"
+    rows = html_text.op6_html_text(spark, data).collect()
+    pages = {r["page_id"]: r["html"] for r in table(spark, data, "pages").collect()}
+    assert len(rows) == len(pages)
     for r in rows:
-        assert r["n_chars"] == len(r["text"]) and "©" not in r["text"] and "track(" not in r["text"] and r["text"]
-    frame = spark.createDataFrame([(1, None, None, "x"), (1, None, "<p>a</p>" * 3_000, "y")], "page_id long, url string, html string, text string")
-    assert [r["n_chars"] for r in html_text.extract(frame).collect()] == [0, 5_999]
+        assert r["n_chars"] == len(r["text"]) and r["text"] == plain_article(pages[r["page_id"]])
+    frame = spark.createDataFrame([(1, None, None, "x"), (1, None, "<p>a</p>" * 3_000, "y"), (None, None, "<p>b", "y")], "page_id long, url string, html string, text string")
+    assert [(r["page_id"], r["n_chars"]) for r in html_text.extract(frame).collect()] == [(1, 0), (1, 5_999), (None, 1)]
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
