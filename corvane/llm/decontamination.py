@@ -1,36 +1,42 @@
-"""Operator 9: benchmark decontamination with a BM25 index and block-max pruning.
+"""Operator 9: benchmark decontamination with BM25 and block-max WAND.
 
 Test items are indexed by their words; each posting holds the word's BM25 weight in
 the item over the sum of the item's weights, so that an item's own text scores 1.
-Items stand in blocks, and every list knows its largest weight in each block.
+Items of like length stand in blocks, and every list knows its largest weight in each block.
 
 Items stand in classes by length: all up to ``SHORT_ITEM_WORDS`` words, then by doubling
 lengths without an end. For each class every training document is read as passages that
 overlap by half and are twice as long as the longest item of the class, so some passage
 holds any item's text whole, and long items do not widen the passages of short ones. Word
-statistics are those of all classes together. A passage is a query. Words that carry the most weight of an item are its essential postings; the
-rest of an item weighs less than ``REST``. A block can only reach the threshold if the
-essential block maxima that the passage hits, plus the block's largest rest, reach
-it; only items of such blocks are scored in full. All items at or over the threshold
-are retrieved: pruning loses none.
+statistics are those of all classes together.
+
+A passage is a query. First, for a whole batch of passages at once, blocks are bounded: words that carry the most weight of an item
+are its essential postings, and the rest of an item weighs less than ``REST``; a block can only reach the threshold if the
+essential block maxima that the passage hits, plus the block's largest rest, reach it. What is left is traversed passage
+by passage with block-max WAND: lists stand in the order of their current items, the pivot is the first item at which their
+maxima can reach the threshold, the maxima of its block are tried before it is scored, and lists skip to
+the pivot or past the block. All items at or over the threshold are retrieved: pruning loses none.
 
 A retrieved pair is then verified on words in order: the item's text is divided into
 question and answer (at its last line or question mark; else the last third of its words
 is the answer), and of the 3-word shingles of either part a share of ``OVERLAP`` must occur in the document.
 
 The index is built per part of ``INDEX_BYTES`` of items at most, so what is broadcast is bounded;
-more items make more parts, each of which meets all documents. Word statistics are counted over
-the items of all parts, so a score does not depend on how items fall into parts.
+more items make more parts, each of which meets all documents in its turn: only one part's index is held at a time. Word
+statistics are counted over the items of all parts, so a score does not depend on how items fall into parts.
 
 Cases: null and empty texts match nothing; items without words are never matched;
-repeated items and documents are each matched; empty tables give an empty result;
+repeated items and documents are each matched; a null ``doc_id`` or ``item_id`` is an id like others; empty tables give an empty result;
 other columns, also those with the same names, are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +77,9 @@ def packed(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ItemIndex:
-    ids: np.ndarray
+    ids: list
     terms: np.ndarray  # hashes, ascending
-    # All postings by term: items and weights.
+    # All postings by term: items, which are numbered by length, and weights. A block is BLOCK_ITEMS numbers.
     first: np.ndarray
     items: np.ndarray
     weights: np.ndarray
@@ -85,7 +91,6 @@ class ItemIndex:
     parts: list[tuple[frozenset, frozenset]]
     longest: int
     threshold: float
-    block_of: np.ndarray
 
 
 def shingles(hashes: list[int], size: int = SHINGLE) -> frozenset:
@@ -141,8 +146,10 @@ def build_classes(ids: list[int], item_texts: list[str], threshold: float = THRE
 
 def build(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD, known: WordStatistics | None = None) -> ItemIndex:
     """An index whose passages suit its longest item; ``known`` are statistics that cover these items and others."""
-    data, offsets = packed(item_texts)
-    hashes, first = words(data, offsets)
+    # Blocks hold items of like length: their maxima then are close to their items' weights.
+    by_length = np.argsort(np.diff(words(*packed(item_texts))[1]), kind="stable").tolist()
+    ids, item_texts = [ids[i] for i in by_length], [item_texts[i] for i in by_length]
+    hashes, first = words(*packed(item_texts))
     known = known or statistics(hashes, first)
     item_of = np.repeat(np.arange(len(ids)), np.diff(first))
     terms, term_of = np.unique(hashes, return_inverse=True)
@@ -154,10 +161,7 @@ def build(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD, k
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / known.mean))
     total = np.bincount(item, weights=weight, minlength=len(ids))
     weight = weight / np.where(total > 0, total, 1)[item]
-    # Blocks hold items of like length: their maxima then are close to their items' weights.
-    by_length = np.argsort(length, kind="stable")
-    block_of = np.empty(len(ids), np.int64)
-    block_of[by_length] = np.arange(len(ids)) // BLOCK_ITEMS
+    block_of = np.arange(len(ids)) // BLOCK_ITEMS
     order = np.lexsort((term, -weight, item))
     running = np.cumsum(weight[order])
     starts = np.searchsorted(item[order], np.arange(len(ids)))
@@ -183,7 +187,7 @@ def build(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD, k
         parts.append((sides[0], sides[1]))
     span = np.arange(len(terms) + 1)
     return ItemIndex(
-        np.array(ids, np.int64),
+        ids,
         terms,
         np.searchsorted(term, span),
         item,
@@ -195,7 +199,6 @@ def build(ids: list[int], item_texts: list[str], threshold: float = THRESHOLD, k
         parts,
         int(length.max(initial=1)),
         threshold,
-        block_of,
     )
 
 
@@ -240,24 +243,71 @@ def retrieve(index: ItemIndex, hashes: np.ndarray, first: np.ndarray) -> tuple[n
     alive = cells[bound >= index.threshold - 1e-9]
     if not len(alive):
         return none
-    wanted = np.isin(passage, np.unique(alive // n_blocks))
-    passage, term = passage[wanted], term[wanted]
-    who, place = _expand(index.first, term)
+    # Then, passage by passage, the items of these blocks.
+    best: dict[tuple[int, int], float] = {}
+    order = np.argsort(passage, kind="stable")
+    passage, term = passage[order], term[order]
+    live = np.unique(alive // n_blocks)
+    begin, end = np.searchsorted(passage, live), np.searchsorted(passage, live, side="right")
+    blocks = np.split(alive % n_blocks, np.searchsorted(alive // n_blocks, live[1:]))
+    of_row = np.searchsorted(base, live, side="right") - 1
+    for row, a, b, some in zip(of_row.tolist(), begin.tolist(), end.tolist(), blocks):
+        for item, score in block_max_wand(index, term[a:b], some):
+            best[row, item] = max(score, best.get((row, item), 0.0))
+    if not best:
+        return none
+    pairs = sorted(best)
+    return np.array([r for r, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), np.array([best[p] for p in pairs])
+
+
+def block_max_wand(index: ItemIndex, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
+    """(item, score) of all items of some blocks at or over the threshold, for a passage of these terms."""
+    who, place = _expand(index.first, terms)
     item = index.items[place]
-    keep = np.isin(passage[who] * n_blocks + index.block_of[item], alive)
-    cell = passage[who][keep] * len(index.ids) + item[keep]
-    order = np.argsort(cell, kind="stable")
-    cells, begin = np.unique(cell[order], return_index=True)
-    score = np.add.reduceat(index.weights[place][keep][order], begin)
-    good = score >= index.threshold - 1e-9
-    cells, score = cells[good], score[good]
-    row = np.searchsorted(base, cells // len(index.ids), side="right") - 1
-    item = cells % len(index.ids)
-    order = np.lexsort((-score, item, row))
-    row, item, score = row[order], item[order], score[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-    return row[new], item[new], score[new]
+    keep = np.isin(item // BLOCK_ITEMS, blocks)
+    who, item, weight = who[keep], item[keep], index.weights[place][keep]
+    cut = np.flatnonzero(np.diff(who)) + 1
+    lists, end = [], len(index.ids)
+    for items, weights in zip(np.split(item, cut), np.split(weight, cut)):
+        if len(items):
+            maxima: dict[int, float] = {}
+            for i, w in zip((items // BLOCK_ITEMS).tolist(), weights.tolist()):
+                maxima[i] = max(w, maxima.get(i, 0.0))
+            lists.append([int(items[0]), 0, items.tolist(), weights.tolist(), maxima, float(weights.max())])
+    least, found = index.threshold - 1e-9, []
+
+    def skip(x: list, to: int) -> None:
+        """Moves a list to its first item at or after ``to``."""
+        x[1] = bisect_left(x[2], to, x[1])
+        x[0] = x[2][x[1]] if x[1] < len(x[2]) else end
+
+    while True:
+        lists.sort(key=itemgetter(0))
+        total, k = 0.0, 0
+        while k < len(lists) and lists[k][0] < end and total < least:
+            total += lists[k][5]
+            k += 1
+        if total < least:
+            return found
+        pivot = lists[k - 1][0]
+        while k < len(lists) and lists[k][0] == pivot:
+            k += 1
+        block = pivot // BLOCK_ITEMS
+        if sum([x[4].get(block, 0.0) for x in lists[:k]]) < least:
+            # No item of this block up to the next list's can reach the threshold.
+            after = min((block + 1) * BLOCK_ITEMS, lists[k][0] if k < len(lists) else end)
+            for x in lists[:k]:
+                skip(x, after)
+        elif lists[0][0] == pivot:
+            score = sum([x[3][x[1]] for x in lists[:k]])
+            if score >= least:
+                found.append((pivot, score))
+            for x in lists[:k]:
+                skip(x, pivot + 1)
+        else:
+            for x in lists[:k]:
+                if x[0] < pivot:
+                    skip(x, pivot)
 
 
 def overlaps(index: ItemIndex, item: int, document: frozenset | set, document_words: set) -> tuple[float, float]:
@@ -289,8 +339,8 @@ def item_words(dealt: DataFrame) -> DataFrame:
     return written(counted.withColumn("df", F.sum("df").over(Window.partitionBy("word"))), "item-words")
 
 
-def item_parts(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[list[ItemIndex]]:
-    """Indexes by class over parts of the items with about ``most_bytes`` of text each (one item at least)."""
+def item_parts(items: DataFrame, most_bytes: int = INDEX_BYTES) -> Iterator[list[ItemIndex]]:
+    """Indexes by class over parts of the items with about ``most_bytes`` of text each (one item at least), one part after the other."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // most_bytes)
@@ -298,48 +348,58 @@ def item_parts(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[list[Ite
     if n > 1:
         all_words, n_items = item_words(dealt), rows.count()
         mean = max(1.0, (all_words.agg(F.sum("length")).first()[0] or 0) / max(1, n_items))
-    parts, known = [], None
+    known = None
     for k in range(n):
-        got = sorted((r["item_id"], r["text"]) for r in dealt.filter(F.col("part") == k).collect())
+        got = sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("part") == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if n > 1:
             held = all_words.filter(F.col("part") == k).select("word", "df").toArrow()
             word, df = (held.column(c).to_numpy().astype(np.int64) for c in ("word", "df"))
             order = np.argsort(word.view(np.uint64))
             known = WordStatistics(word.view(np.uint64)[order], df[order], n_items, mean)
-        parts.append(build_classes([i for i, _ in got], [t for _, t in got], known=known))
-    return parts
+        yield build_classes([i for i, _ in got], [t for _, t in got], known=known)
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, most_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified pair."""
     spark = docs.sparkSession
-    found = None
-    for indexes in item_parts(items):
+    found: list[DataFrame] = []
+    waiting = None
+    for indexes in item_parts(items, most_bytes):
+        if waiting is not None:
+            # Several parts: each one's pairs are written before the next one's index is sent.
+            found.append(written(waiting[0], "contaminated-part"))
+            waiting[1].destroy()
         held = spark.sparkContext.broadcast(indexes)
+        waiting = matched(docs, held), held
+    if waiting is not None:
+        found.append(waiting[0])
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+
+
+def matched(docs: DataFrame, held) -> DataFrame:
+    """Verified pairs of all documents with the items of a broadcast list of indexes."""
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            indexes = held.value
-            for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
-                ids = some.column(0).to_pylist()
-                hashes, first = words(*packed(texts(some.column(1))))
-                out = []
-                for index in indexes:
-                    row, item, score = retrieve(index, hashes, first)
-                    seen = -1
-                    for r, i, s in zip(row.tolist(), item.tolist(), score.tolist()):
-                        if r != seen:
-                            mine = hashes[first[r] : first[r + 1]].tolist()
-                            held_words, held_shingles, seen = set(mine), shingles(mine), r
-                        q, a = overlaps(index, i, held_shingles, held_words)
-                        if q >= OVERLAP and a >= OVERLAP:
-                            out.append((ids[r], int(index.ids[i]), s, q, a))
-                if out:
-                    columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = held.value
+        for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
+            ids = some.column(0).to_pylist()
+            hashes, first = words(*packed(texts(some.column(1))))
+            out = []
+            for index in indexes:
+                row, item, score = retrieve(index, hashes, first)
+                seen = -1
+                for r, i, s in zip(row.tolist(), item.tolist(), score.tolist()):
+                    if r != seen:
+                        mine = hashes[first[r] : first[r + 1]].tolist()
+                        held_words, held_shingles, seen = set(mine), shingles(mine), r
+                    q, a = overlaps(index, i, held_shingles, held_words)
+                    if q >= OVERLAP and a >= OVERLAP:
+                        out.append((ids[r], index.ids[i], s, q, a))
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
