@@ -2,32 +2,31 @@
 
 Writing: one record per page. Of pages with equal payloads of ``REVISIT_FROM`` bytes or more, that with the
 smallest id is a response; the others are revisits of it and carry only their HTTP
-head. Payloads over ``CHUNKED_FROM`` bytes are sent in chunked transfer framing; a
+head. A record's identifier is made of its page's id and its payload's digest, so a revisit names the very record it refers to. Payloads over ``CHUNKED_FROM`` bytes are sent in chunked transfer framing; a
 block over ``SEGMENT_CHARS`` is cut into a first record and continuation records. Records are
 rows of Spark's text sink, parted by the two line ends the format wants, so files
 come about by the same commit as any table's: a lost executor's task is written
 again, and nothing depends on a local folder.
 
-Reading: files are parsed by content length. Continuation records are grouped by the
+Reading: files are inflated and parsed by content length as a stream, a few records at a time. Continuation records are grouped by the
 identifier of their origin and ordered by segment number; numbers must be gapless and
 lengths must sum to the stated total. The chunked framing is decoded, and the payload
 compared with its digest. Anything else raises: an archive that cannot be put
 together is an error, not a missing row.
 
-Cases: a null page is an empty payload; null urls are left out of the record; rows
-with equal ids and payloads are all responses; an empty table writes no record;
-other columns are ignored.
+Cases: a null page is an empty payload; null urls are left out of the record; of rows
+with equal ids and payloads one counts as the page, the others are revisits of it (responses, if they are small); a null id comes
+after all others; an empty table writes no record; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import table, table_path, written
@@ -52,7 +51,23 @@ def firsts(pages: DataFrame, least_bytes: int = REVISIT_FROM) -> DataFrame:
     heavy, light = groups.filter(F.col("n") > bound), groups.filter(F.col("n") <= bound)
     many = large.join(F.broadcast(heavy), "digest")
     few = large.join(F.broadcast(heavy), "digest", "left_anti").join(light, "digest")
-    return many.unionByName(few).filter("page_id != first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    return many.unionByName(few).filter("not page_id <=> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+
+
+def numbered(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """``rows`` with ``again``, which tells rows with equal ids and digests apart: 0 for one of each, then 1, 2 ...; ``small`` has the ids
+    and digests of all. Repeated rows are counted before they are numbered, so no task gets all of them one by one; those that
+    come again with ``REVISIT_FROM`` bytes or more no longer need their payload."""
+    repeated = written(small.groupBy("page_id", "digest").count().filter("count > 1").select("page_id", "digest"), "warc-repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("again", F.lit(0).cast("long"))
+    same = rows["page_id"].eqNullSafe(repeated["page_id"]) & (rows["digest"] == repeated["digest"])
+    once = rows.join(repeated, same, "left_anti").withColumn("again", F.lit(0).cast("long"))
+    counts = rows.join(repeated, same, "left_semi").groupBy("page_id", "digest", "url", "bytes").agg(F.count("*").alias("n"), F.max("html").alias("html"))
+    before = F.sum("n").over(Window.partitionBy("page_id", "digest").orderBy("url").rowsBetween(Window.unboundedPreceding, -1))
+    each = counts.withColumn("_from", F.coalesce(before, F.lit(0))).withColumn("again", F.explode(F.sequence("_from", F.col("_from") + F.col("n") - 1)))
+    html = F.when((F.col("again") == 0) | (F.col("bytes") < REVISIT_FROM), F.col("html")).otherwise("")
+    return once.unionByName(each.select("page_id", "url", html.alias("html"), "bytes", "digest", "again"))
 
 
 def _http(body: str, n_bytes: int, chunked: bool) -> str:
@@ -69,16 +84,22 @@ def _record(headers: list[tuple[str, object]], block: str) -> str:
     return CRLF.join(lines) + BETWEEN + block
 
 
-def records(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None, number: str) -> Iterator[str]:
-    """The records of one page; ``number`` makes their identifiers unique."""
-    name = f"<urn:page:{'' if page_id is None else page_id}:{number}>"
-    n = len(html.encode())
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", DATE)]
+def record_id(page_id: int | None, digest: str, *more: object) -> str:
+    return f"<urn:page:{':'.join(map(str, ['' if page_id is None else page_id, digest, *more]))}>"
+
+
+def records(page_id: int | None, url: str | None, html: str, n: int, digest: str, refers_to: int | None, again: int) -> Iterator[str]:
+    """The records of one page with a payload of ``n`` bytes; ``again`` counts earlier rows with the same id and payload."""
+    number = (again,) if again else ()
+    name = record_id(page_id, digest, *number)
+    target = record_id(page_id if refers_to is None else refers_to, digest)
+    revisits = refers_to is not None or again > 0 and n >= REVISIT_FROM
+    head = [("WARC-Type", "revisit" if revisits else "response"), ("WARC-Record-ID", name), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in url)))
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
-    if refers_to is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+    if revisits:
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", target)]
         yield _record(head, _http("", n, False))
         return
     block = _http(html, n, n >= CHUNKED_FROM)
@@ -88,7 +109,7 @@ def records(page_id: int | None, url: str | None, html: str, digest: str, refers
         return
     yield _record([*head, ("WARC-Segment-Number", 1)], parts[0])
     for k, part in enumerate(parts[1:], 2):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}:{number}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k)]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, digest, again, k)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k)]
         if k == len(parts):
             more.append(("WARC-Segment-Total-Length", len(block.encode())))
         yield _record(more, part)
@@ -96,41 +117,70 @@ def records(page_id: int | None, url: str | None, html: str, digest: str, refers
 
 def write(pages: DataFrame, path: str) -> None:
     """Archive ``pages`` (page_id, url, html) under ``path``. The pages are shuffled once, by id."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    small = base.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
-    revisits = firsts(written(small, "warc-digests"))
-    rows = base.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(revisits, ["page_id", "digest"], "left")
+    html = F.coalesce("html", F.lit(""))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
+    base = base.select("*", F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    small = written(base.select("page_id", "bytes", "digest"), "warc-digests")
+    rows, revisits = numbered(base, small), firsts(small)
+    # A null id has its own key, or it would find nothing.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    rows = rows.withColumn("_key", key).join(revisits.select(key.alias("_key"), "digest", "refers_to"), ["_key", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 out = []
                 for r in batch.slice(lo, 500).to_pylist():
-                    k += 1
-                    out += records(r["page_id"], r["url"], r["html"], r["digest"], r["refers_to"], f"{part}-{k}")
+                    out += records(r["page_id"], r["url"], r["html"], r["bytes"], r["digest"], r["refers_to"], r["again"])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "value string").write.options(lineSep=BETWEEN, compression="gzip", maxRecordsPerFile=FILE_ROWS).text(path)
+    rows.select("page_id", "url", "html", "bytes", "digest", "refers_to", "again").mapInArrow(run, "value string").write.options(lineSep=BETWEEN, compression="gzip", maxRecordsPerFile=FILE_ROWS).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of one archive: named fields in lower case, and the block."""
-    at, end = 0, len(data)
-    while at < end:
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0:
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a file in parts: as it is, or out of its gzip members."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = member.decompress(data, step)
+            data = member.unconsumed_tail
+            if not part and not member.eof:
+                raise ValueError("an archive ends within a gzip member")
+            yield part
+        data = member.unused_data
+
+
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of one archive that comes in parts: named fields in lower case, and the block."""
+    held, parts, more = b"", iter(parts), True
+    while more or held:
+        head = held.find(b"\r\n\r\n")
+        if head >= 0:
+            version, *lines = held[:head].decode("utf-8").split(CRLF)
+            if not version.startswith("WARC/"):
+                raise ValueError(f"not the beginning of a record: {version[:40]!r}")
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            end = head + 4 + int(fields["content-length"])
+            while more and len(held) < end + 4:
+                taken = [held]
+                while more and sum(map(len, taken)) < end + 4:
+                    part = next(parts, None)
+                    more = part is not None
+                    taken.append(part or b"")
+                held = b"".join(taken)
+            if held[end : end + 4] != b"\r\n\r\n":
+                raise ValueError("a record is shorter or longer than it says")
+            yield fields, held[head + 4 : end]
+            held = held[end + 4 :]
+        elif more:
+            part = next(parts, None)
+            more = part is not None
+            held += part or b""
+        else:
             raise ValueError("an archive ends within a record's head")
-        version, *lines = data[at:head].decode("utf-8").split(CRLF)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"not the beginning of a record: {version[:40]!r}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(fields["content-length"])
-        block = data[head + 4 : head + 4 + n]
-        if len(block) != n or data[head + 4 + n : head + 8 + n] != b"\r\n\r\n":
-            raise ValueError("a record is shorter or longer than it says")
-        yield fields, block
-        at = head + 8 + n
 
 
 def dechunked(body: bytes) -> bytes:
@@ -181,23 +231,20 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                data = raw.as_py()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
                 out: list[dict] = []
-                for fields, block in parse(data):
+                for fields, block in parse(inflated(raw.as_py())):
                     continued = fields["warc-type"] == "continuation"
                     number = int(fields.get("warc-segment-number", 0))
                     name = fields["warc-segment-origin-id" if continued else "warc-record-id"]
                     total = fields.get("warc-segment-total-length")
-                    refers = fields.get("warc-refers-to", "")
-                    page = name.strip("<>").split(":")[2]
+                    refers, page = (x.strip("<>").split(":")[2] if x else "" for x in (fields.get("warc-refers-to"), name))
                     out.append(
                         {
                             "origin": name,
                             "page_id": int(page) if page else None,
                             "record_type": None if continued else fields["warc-type"],
                             "payload_digest": None if continued else fields["warc-payload-digest"].partition(":")[2],
-                            "refers_to": int(refers.strip("<>").split(":")[2]) if refers else None,
+                            "refers_to": int(refers) if refers else None,
                             "segment": {"number": number, "total": int(total) if total else None, "block": block},
                         }
                     )
