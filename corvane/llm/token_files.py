@@ -15,9 +15,9 @@ hash; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.bpe import BEYOND, Memo, agreed_pieces, byte_characters, default_tokenizer
-from corvane.llm.shared import bounded_pieces, table, table_path, texts, tidy
+from corvane.llm.bpe import byte_characters, default_tokenizer
+from corvane.llm.pieces import PieceTable, encoded_rows, rows_beyond, rows_holding
+from corvane.llm.shared import bounded_pieces, flat_bytes, table, table_path, tidy
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
-REMEMBERED = 320_000  # pieces a worker remembers, in either of two generations
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts, asked once for each distinct piece.
 
-    The library's own pre-tokenizer cuts texts with characters on which Unicode versions may
-    differ; texts that hold an added token go to the library whole.
+    Texts with characters on which Unicode versions may differ, or with an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,24 +45,23 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.names = dict(enumerate(byte_characters()))
-        self.pieces = agreed_pieces()
-        self.memo = Memo(self._piece, REMEMBERED)
+        self.pieces = PieceTable(self._new)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.names))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ask, names = self.tokenizer.model.tokenize, self.names
+        found = [[t.id for t in ask(x.decode("latin-1").translate(names))] for x in pieces]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
 
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if any(x in text for x in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if BEYOND.search(text):
-            pieces = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        else:
-            pieces = self.pieces.findall(text)
-        return b"".join(map(self.memo.__getitem__, pieces))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts end to end, and where each text's begin."""
+        apart = np.union1d(rows_beyond(data, offsets), rows_holding(data, offsets, self.added))
+        return encoded_rows(self.pieces.encoded, data, offsets, apart, self._whole)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -76,13 +74,15 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = LibraryEncoder(tokenizer)
         encode = _encoders[tokenizer]
-        part, at, end = TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in bounded_pieces(batch, "text"):
-                rows = [encode(x) + end for x in texts(some.column(1))]
-                n = np.array([len(x) // 4 for x in rows], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
+                found, first = encode(*flat_bytes(some.column(1)))
+                ends = first + np.arange(len(first))  # an end id after each text
+                values = np.full(ends[-1], end_id, np.int32)
+                values[np.arange(len(found)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = found.view(np.int32)
+                n = np.diff(ends)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends[:-1], pa.int64()), pa.array(n), ids],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
