@@ -3,9 +3,10 @@
 Two bytes that stand side by side in no token of the vocabulary can never be
 merged into one, whatever stands around them: between them every encoding has a
 cut. Each piece of the pre-tokenizer is cut at all such places, the fragments
-are encoded one by one (and remembered, as most of them return), and their ids
+are encoded independently (and remembered, as most of them return), and their ids
 are put together again. Merging never looks across such a cut, so the ids are
-exactly those of merging the whole piece.
+exactly those of merging the whole piece. All of it works on the bytes of a whole batch of texts:
+new fragments are merged side by side, one merge in each row a round.
 
 Cases: a null text is encoded as an empty one (no ids); strings of added tokens
 become that token's id; a row is encoded on its own, so ties and repeated rows
@@ -18,8 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,38 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import bounded_pieces, table, texts, tidy
+from corvane.llm.pieces import PieceTable, cut, encoded_rows, rows_beyond, rows_holding, spread
+from corvane.llm.shared import bounded_pieces, flat_bytes, table, tidy
 
-#: The pre-tokenizer's pattern.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Below this code point all Unicode versions in use agree on letters, numbers and spaces; a text with
-#: a later one is cut by the tokenizers library itself.
-AGREED_BELOW = 0x530
-MEMO_PIECES, MEMO_CHARS, HEAP_OVER = 150_000, 48, 40
-
-
-def _ranges(category: str) -> str:
-    """The agreed characters of a category, as ranges of a character class."""
-    test = regex.compile(category)
-    inside = [test.match(chr(c)) is not None for c in range(AGREED_BELOW)] + [False]
-    starts = [c for c, x in enumerate(inside) if x and not (c and inside[c - 1])]
-    ends = [c - 1 for c, x in enumerate(inside) if c and not x and inside[c - 1]]
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
-
-
-def agreed_pieces() -> re.Pattern:
-    """``PIECES`` for texts of agreed characters alone: the standard module is twice as fast on plain ranges."""
-    pattern = PIECES
-    for name, category in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s")):
-        ranges = _ranges(category)
-        pattern = pattern.replace(r"\p{%s}" % name if name != "s" else r"\s", f"\0{name}")
-        pattern = pattern.replace(f"[^\0{name}", f"[^{ranges}")
-        pattern = re.sub(rf"(\[\^[^\]]*)\0{name}", lambda m: m[1] + ranges, pattern)
-        pattern = pattern.replace(f"\0{name}", f"[{ranges}]")
-    return re.compile(pattern.replace(r"\S", f"[^{_ranges(r'\s')}]"))
-
-
-BEYOND = re.compile(f"[{chr(AGREED_BELOW)}-\U0010ffff]")
+SHORT, NEVER = 16, np.int32(2**31 - 1)
 
 
 def byte_characters() -> list[str]:
@@ -72,27 +43,36 @@ def byte_characters() -> list[str]:
     return [names[b] for b in range(256)]
 
 
-class Memo(dict):
-    """Values by piece, in two generations: when the new one is full it becomes the old one, and what is asked for again
-    returns from there. So memory is bounded, and frequent pieces stay."""
-
-    def __init__(self, make, most: int = MEMO_PIECES, chars: int = MEMO_CHARS):
-        super().__init__()
-        self.make, self.most, self.chars, self.old = make, most, chars, {}
-
-    def __missing__(self, piece):
-        value = self.old.get(piece)
-        if value is None:
-            value = self.make(piece)
-        if len(piece) <= self.chars:
-            self.keep(piece, value)
-        return value
-
-    def keep(self, piece, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = value
+class MergeRanks:
+    """The rank of each pair of ids that is merged, ``NEVER`` for the others, for whole arrays of pairs."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER, np.int32)
+        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        at, some = self._slot(keys), np.arange(len(keys))
+        while len(some):  # of those that want one empty slot the last gets it; the others try the next
+            free = self.keys[at[some]] < 0
+            self.keys[at[some[free]]] = keys[some[free]]
+            won = self.keys[at[some]] == keys[some]
+            self.ranks[at[some[won]]] = some[won]
+            some = some[~won]
+            at[some] = (at[some] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | b
+        at, out = self._slot(keys), np.full(len(keys), NEVER, np.int32)
+        some = np.flatnonzero((a >= 0) & (b >= 0))
+        while len(some):
+            held = self.keys[at[some]]
+            same = held == keys[some]
+            out[some[same]] = self.ranks[at[some[same]]]
+            some = some[~same & (held >= 0)]
+            at[some] = (at[some] + 1) & ((1 << self.bits) - 1)
+        return out
 
 
 class ForcedBoundaryBPE:
@@ -112,70 +92,84 @@ class ForcedBoundaryBPE:
             self.token_bytes[i] = raw
             for a, b in zip(raw, raw[1:]):
                 self.forced[a << 8 | b] = False
-        self.cut_pairs = self.forced.tobytes()
-        self.byte_id = [vocab[c] for c in names]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[vocab[a], vocab[b]] = rank, vocab[a + b]
+        self.byte_id = np.array([vocab[c] for c in names], np.int32)
+        merges = [tuple(vocab[x] for x in (pair.split(" ") if isinstance(pair, str) else pair)) for pair in model["merges"]]
+        results = [vocab[a + b] for a, b in (pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"])]
+        self.merge = {pair: (rank, new) for rank, (pair, new) in enumerate(zip(merges, results))}
+        self.ranks, self.results = MergeRanks(merges), np.array(results, np.int32)
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         for content, i in self.added.items():
             self.token_bytes[i] = content.encode()
         self.added_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.pieces = agreed_pieces()
-        self.fragments = Memo(self._encode_fragment, MEMO_PIECES // 8)
-        self.memo = Memo(self._encode_piece)
+        self.fragments = PieceTable(self._encode_fragments)
+        every = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes, default=-1) + 2)]  # the last stands for all unknown ids
+        self.bytes_of = np.frombuffer(b"".join(every), np.uint8)
+        self.bytes_count = np.array(list(map(len, every)), np.int64)
+        self.bytes_first = np.cumsum(self.bytes_count) - self.bytes_count
         self._library = None
         self._path = path
 
-    def _split(self, text: str) -> list[str]:
-        if not BEYOND.search(text):
-            return self.pieces.findall(text)
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self._path).pre_tokenizer
-        return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
+    def forced_starts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``starts`` of pieces, and each byte that never follows its predecessor inside a token."""
+        begins = np.zeros(len(data), bool)
+        if len(data):
+            begins[1:] = self.forced[data[:-1].astype(np.int32) << 8 | data[1:]]
+            begins[starts] = True
+        return np.flatnonzero(begins)
 
     def cuts(self, raw: bytes) -> list[int]:
-        """Where ``raw`` must be cut: before each byte that never follows its predecessor inside a token."""
-        if len(raw) > 256:
-            b = np.frombuffer(raw, np.uint8).astype(np.int32)
-            return (np.flatnonzero(self.forced[b[:-1] << 8 | b[1:]]) + 1).tolist()
-        table = self.cut_pairs
-        return [i for i in range(1, len(raw)) if table[raw[i - 1] << 8 | raw[i]]]
-
-    def _encode_piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        at = self.cuts(raw)
-        if not at:
-            return self._encode_fragment(raw)  # the piece itself is remembered
-        return b"".join([self.fragments[raw[a:b]] for a, b in zip([0, *at], [*at, len(raw)])])
-
-    def _encode_fragment(self, raw: bytes) -> bytes:
-        ids = [self.byte_id[b] for b in raw]
-        ids = self._merged(ids) if len(ids) <= HEAP_OVER else self._merged_long(ids)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _merged(self, ids: list[int]) -> list[int]:
-        """The leftmost pair of the lowest rank is merged until no pair has a rank."""
-        get, none = self.merge.get, (1 << 60, 0)
-        pairs = [get(p, none) for p in zip(ids, ids[1:])]
-        while pairs:
-            best = min(pairs)
-            if best is none or best[0] == none[0]:
-                break
-            i = pairs.index(best)
-            ids[i : i + 2] = [best[1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get((ids[i - 1], ids[i]), none)
-            if i < len(pairs):
-                pairs[i] = get((ids[i], ids[i + 1]), none)
-        return ids
+        """Where ``raw`` must be cut."""
+        return self.forced_starts(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64)).tolist()[1:]
+
+    def _encode_fragments(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of fragments, end to end, and how many each has: short ones all together, each round one merge in every row."""
+        sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
+        out: list[np.ndarray | None] = [None] * len(fragments)
+        count = np.zeros(len(fragments), np.int64)
+        for width in (SHORT // 2, SHORT):
+            some = np.flatnonzero((sizes <= width) & (count == 0))
+            if len(some):
+                rows = np.frombuffer(b"".join([fragments[i].ljust(width, b"\0") for i in some.tolist()]), np.uint8).reshape(-1, width)
+                ids = self._merged(rows, sizes[some])
+                count[some] = (ids >= 0).sum(1)
+                for i, row, n in zip(some.tolist(), ids, count[some].tolist()):
+                    out[i] = row[:n]
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = np.array(self._merged_long(self.byte_id[np.frombuffer(fragments[i], np.uint8)].tolist()), np.int32)
+            count[i] = len(out[i])
+        return (np.concatenate(out) if out else np.zeros(0, np.int32)).astype(np.uint32), count
+
+    def _merged(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Ids of fragments of up to ``SHORT`` bytes, one a row, padded with -1: in each the leftmost pair of the lowest rank is
+        merged until no pair has a rank."""
+        n, width = rows.shape
+        column = np.arange(width)
+        ids = np.where(column < sizes[:, None], self.byte_id[rows], -1)
+        rank = self.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+        live = np.arange(n)
+        while True:
+            at = rank[live].argmin(1)
+            best = rank[live, at]
+            live, at, best = live[best < NEVER], at[best < NEVER], best[best < NEVER]
+            if not len(live):
+                return ids
+            moved = np.minimum(column + (column > at[:, None]), width - 1)
+            mine = np.take_along_axis(ids[live], moved, 1)
+            mine[:, -1] = -1
+            mine[np.arange(len(live)), at] = self.results[best]
+            ids[live] = mine
+            ranks = np.take_along_axis(rank[live], np.minimum(moved[:, :-1], width - 2), 1)
+            ranks[:, -1] = NEVER
+            here = np.arange(len(live))
+            after = np.where(at + 1 < width, mine[here, np.minimum(at + 1, width - 1)], -1)
+            ok = at < width - 1
+            ranks[here[ok], at[ok]] = self.ranks(mine[here[ok], at[ok]], after[ok])
+            ok = at > 0
+            ranks[here[ok], at[ok] - 1] = self.ranks(mine[here[ok], at[ok] - 1], mine[here[ok], at[ok]])
+            rank[live] = ranks
 
     def _merged_long(self, ids: list[int]) -> list[int]:
-        """The same for long fragments: a heap of pairs over a linked list."""
+        """The same for a long fragment: a heap of pairs over a linked list."""
         n, get = len(ids), self.merge.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
@@ -195,22 +189,51 @@ class ForcedBoundaryBPE:
                 heapq.heappush(heap, (m[0], left[i], ids[left[i]], new, m[1]))
         return [x for x in ids if x >= 0]
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.added_at is None or not self.added_at.search(text):
-            return b"".join(map(self.memo.__getitem__, self._split(text)))
+    def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts end to end, and where each text's begin: of texts of agreed characters without added tokens."""
+        return self.fragments.encoded(data, offsets, self.forced_starts(data, cut(data, offsets)))
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any texts."""
+        apart = np.union1d(rows_beyond(data, offsets), rows_holding(data, offsets, [x.encode() for x in self.added]))
+        return encoded_rows(self.encoded, data, offsets, apart, self._apart)
+
+    def _plain(self, text: str) -> bytes:
+        """A text without added tokens. With characters on which Unicode versions may differ, the tokenizers library cuts it."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        whole = np.array([0, len(raw)])
+        if not len(rows_beyond(raw, whole)):
+            return self.encoded(raw, whole)[0].tobytes()
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path).pre_tokenizer
+        sizes = [len(text[a:b].encode()) for _, (a, b) in self._library.pre_tokenize_str(text)]
+        return self.fragments.encoded(raw, whole, self.forced_starts(raw, np.cumsum([0, *sizes[:-1]])))[0].tobytes()
+
+    def _apart(self, text: str) -> bytes:
         out, at = [], 0
-        for m in self.added_at.finditer(text):
-            out += [*map(self.memo.__getitem__, self._split(text[at : m.start()])), self.added[m[0]].to_bytes(4, "little")]
+        for m in self.added_at.finditer(text) if self.added_at else ():
+            out += [self._plain(text[at : m.start()]), self.added[m[0]].to_bytes(4, "little")]
             at = m.end()
-        return b"".join([*out, *map(self.memo.__getitem__, self._split(text[at:]))])
+        return b"".join([*out, self._plain(text[at:])])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.rows(raw, np.array([0, len(raw)]))[0].tolist()
+
+    def decoded(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Bytes of rows of ids that begin at ``first``. Ids outside the vocabulary have none."""
+        known = np.minimum(ids.astype(np.int64), len(self.bytes_count) - 1)
+        raw, at = spread(self.bytes_of, self.bytes_first[known], self.bytes_count[known], first)
+        whole, at = raw.tobytes(), at.tolist()
+        return [whole[a:b] for a, b in zip(at, at[1:])]
 
     def decode(self, ids) -> str:
-        """Ids outside the vocabulary have no bytes; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join([self.token_bytes.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        """Bytes that are no UTF-8 become U+FFFD."""
+        some = np.array(list(ids), np.int64)
+        some[some < 0] = len(self.bytes_count) - 1
+        return self.decoded(some, np.array([0, len(some)]))[0].decode("utf-8", "replace")
 
 
 _coders: dict[str, ForcedBoundaryBPE] = {}
@@ -229,18 +252,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
         for batch in batches:
-            ids = [np.frombuffer(bpe.encode_bytes(x), "<i4") for x in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], names=[id_col, "ids"])
+            ids, first = bpe.rows(*flat_bytes(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.view(np.int32)))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, "<i4"), pa.int32()))
-
-
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The text of each row's ids: (id, text). Null ids give an empty text."""
 
@@ -258,15 +276,12 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
-        piece = bpe.token_bytes.__getitem__
         for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
-            n, a, b = [], [], []
-            for text in texts(some.column(1)):
-                ids = bpe.encode_bytes(text)
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                back = b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-                b.append(hashlib.sha256(back.encode()).hexdigest())
+            ids, first = bpe.rows(*flat_bytes(some.column(1)))
+            raw, at = ids.astype("<u4", copy=False).tobytes(), (4 * first).tolist()
+            a = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(at, at[1:])]
+            b = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in bpe.decoded(ids, first)]
+            n = np.diff(first)
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
