@@ -7,17 +7,19 @@ its kernel values against them, whitened by the landmarks' own kernel matrix. On
 these features one ridge regression per language separates it from the rest. A
 text is scored by two matrix products: presence x landmarks, values x weights.
 
-Only grams of landmarks can count for a kernel value, so a text becomes a 0/1 row
-over those; the number of all its distinct grams is counted beside it.
+Only grams of landmarks can count for a kernel value. Those that many landmarks hold are
+columns of a dense matrix, in which a text is a 0/1 row; the rarer ones are lists of their landmarks. So no
+gram is left out, however many languages there are. The number of all of a text's distinct grams is counted beside it.
 
-Fitting takes, in each learned language, the ``sample`` labelled texts with the smallest hashes
-(a documented bound; the landmarks are the first of them); scoring covers whole
+Fitting takes, in each language that a row names, the labelled texts with the smallest hashes: ``SAMPLE_ROWS``
+shared out evenly, but no more than ``SAMPLE_PER_LANGUAGE`` and no fewer than ``LEAST_PER_LANGUAGE`` in any (documented bounds on
+rows; their texts are whole, and become grams where they are). The landmarks are the first of them. Scoring covers whole
 texts of all rows. A session without labelled rows learns nothing: every text is
 ``und`` with score 0.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; ties between
-languages go to the first in alphabetical order; repeated rows get equal results;
-an empty table gives an empty result; other columns are ignored.
+languages go to the first in alphabetical order; repeated rows get equal results, and one of them is learned from; a
+null id belongs to no fold: it is neither learned from nor held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from pyspark.sql import types as T
 
 from corvane.llm.shared import bounded_pieces, flat_bytes, table, tidy
 
-SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MOST_LANGUAGES, MOST_BYTES = 300, 24, 64, 20_000
-RIDGE, MOST_GRAMS = 1e-2, 24_000
+SAMPLE_ROWS, SAMPLE_PER_LANGUAGE, LEAST_PER_LANGUAGE = 6_000, 300, 8
+LANDMARKS, LANDMARKS_PER_LANGUAGE, LEAST_LANDMARKS = 1_000, 24, 2
+RIDGE, DENSE_SHARE = 1e-2, 16
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 128
@@ -54,14 +57,17 @@ def grams(text: bytes) -> np.ndarray:
 @dataclass
 class KernelModel:
     languages: list[str]
-    codes: np.ndarray  # the landmarks' grams, ascending
-    landmarks: np.ndarray  # grams x landmarks: presence over the root of each landmark's size
+    codes: np.ndarray  # the landmarks' grams, ascending within the dense ones, then within the others
+    dense: np.ndarray  # the first grams x landmarks: presence
+    first: np.ndarray  # the other grams' lists of landmarks
+    lists: np.ndarray
+    roots: np.ndarray  # of each landmark's number of grams
     weights: np.ndarray  # landmarks x languages
 
     _slot: np.ndarray | None = None
 
     def slots(self) -> np.ndarray:
-        """Column of each gram's code, -1 for a gram of no landmark."""
+        """Place of each gram's code, -1 for a gram of no landmark."""
         if self._slot is None:
             self._slot = np.full(65_792 + (1 << 24), -1, np.int16 if len(self.codes) < 32_000 else np.int32)
             self._slot[self.codes] = np.arange(len(self.codes))
@@ -69,8 +75,9 @@ class KernelModel:
 
     def kernels(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Kernel values of consecutive texts against all landmarks."""
-        slot, rows = self.slots(), len(offsets) - 1
-        presence = np.zeros((rows, len(self.codes)), np.float32)
+        slot, rows, n_dense = self.slots(), len(offsets) - 1, len(self.dense)
+        presence = np.zeros((rows, n_dense), np.float32)
+        rare = np.zeros((rows, len(self.roots)), np.float32)
         sizes = np.ones(rows, np.float32)
         for i in range(rows):
             a, b = offsets[i], offsets[i + 1]
@@ -81,69 +88,111 @@ class KernelModel:
                 codes = np.sort(codes)
                 codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
                 held += len(codes)
-                at = slot[codes]
-                presence[i, at[at >= 0]] = 1
+                at = slot[codes].astype(np.int64)
+                presence[i, at[(at >= 0) & (at < n_dense)]] = 1
+                at = at[at >= n_dense] - n_dense
+                if len(at):
+                    n = self.first[at + 1] - self.first[at]
+                    place = np.arange(n.sum()) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+                    rare[i] += np.bincount(self.lists[place], minlength=len(self.roots))
             sizes[i] = held
-        return presence @ self.landmarks / np.sqrt(sizes)[:, None]
+        return (presence @ self.dense + rare) / self.roots / np.sqrt(sizes)[:, None]
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.kernels(data, offsets) @ self.weights
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> KernelModel | None:
-    """A model from labelled texts; the first ``landmarks`` of each language are its landmarks."""
+def fit(texts: list[str], languages: list[str], landmarks: int | None = None, ridge: float = RIDGE) -> KernelModel | None:
+    """A model from labelled texts."""
+    raw = [t.lower().encode() for t in texts]
+    return fit_grams([grams(x) for x in raw], languages, landmarks, ridge)
+
+
+def fit_grams(held: list[np.ndarray], languages: list[str], landmarks: int | None = None, ridge: float = RIDGE) -> KernelModel | None:
+    """A model from the distinct grams of labelled texts; the first ``landmarks`` of each language are its landmarks."""
     known = sorted(set(languages))
     if not known:
         return None
-    raw = [t.lower().encode()[:MOST_BYTES] for t in texts]
-    chosen = [i for name in known for i in [k for k, x in enumerate(languages) if x == name][:landmarks]]
-    held = [grams(raw[i]) for i in chosen]
-    codes, counts = np.unique(np.concatenate(held), return_counts=True)
-    if len(codes) > MOST_GRAMS:  # landmarks are part of the model, not of the data: their rarest grams go
-        keep = np.sort(np.lexsort((codes, -counts))[:MOST_GRAMS])
-        codes = codes[keep]
-    columns = np.zeros((len(codes), len(chosen)), np.float32)
-    for j, g in enumerate(held):
-        columns[np.flatnonzero(np.isin(codes, g)), j] = 1 / np.sqrt(max(1, len(g)))
-    model = KernelModel(known, codes.astype(np.int32), columns, np.zeros((len(chosen), len(known)), np.float32))
-    inner = columns.T.astype(np.float64) @ columns
+    landmarks = landmarks or max(LEAST_LANDMARKS, min(LANDMARKS_PER_LANGUAGE, LANDMARKS // len(known)))
+    places: dict[str, list[int]] = {x: [] for x in known}
+    for k, x in enumerate(languages):
+        places[x].append(k)
+    chosen = [i for x in known for i in places[x][:landmarks]]
+    every = np.concatenate([held[i] for i in chosen])
+    owner = np.repeat(np.arange(len(chosen)), [len(held[i]) for i in chosen])
+    codes, which, counts = np.unique(every, return_inverse=True, return_counts=True)
+    common = counts * DENSE_SHARE > len(chosen)
+    rank = np.empty(len(codes), np.int64)
+    n_dense = int(common.sum())
+    rank[common], rank[~common] = np.arange(n_dense), np.arange(n_dense, len(codes))
+    ordered = np.empty(len(codes), np.int32)
+    ordered[rank] = codes
+    which = rank[which.ravel()]
+    dense = np.zeros((n_dense, len(chosen)), np.float32)
+    dense[which[which < n_dense], owner[which < n_dense]] = 1
+    by = np.argsort(which, kind="stable")
+    by = by[which[by] >= n_dense]
+    first = np.searchsorted(which[by], np.arange(n_dense, len(codes) + 1))
+    roots = np.sqrt(np.maximum(1, np.array([len(held[i]) for i in chosen]))).astype(np.float32)
+    model = KernelModel(known, ordered, dense, first, owner[by], roots, np.zeros((len(chosen), len(known)), np.float32))
+    features = np.stack([_against(model, g) for g in held]).astype(np.float64)
+    inner = features[chosen]
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    kernels = []
-    for lo in range(0, len(raw), BLOCK_ROWS):
-        some = raw[lo : lo + BLOCK_ROWS]
-        kernels.append(model.kernels(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])))
-    features = np.concatenate(kernels).astype(np.float64) @ whiten
+    features = features @ whiten
     names = np.array(languages)
     target = np.stack([np.where(names == x, 1.0, -1.0) for x in known], 1)
-    weight = np.sqrt(1 / np.array([max(1, (names == x).sum()) for x in languages]))[:, None]
+    weight = np.sqrt(1 / np.array([len(places[x]) for x in languages]))[:, None]
     a, b = features * weight, target * weight
     solved = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
     model.weights = (whiten @ solved).astype(np.float32)
     return model
 
 
-def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list:
-    """Per language the texts with the smallest hashes, at most ``per_language`` in at most
-    ``MOST_LANGUAGES`` languages (the commonest). Only hashes are ranked; texts are read for the chosen ids."""
+def _against(model: KernelModel, held: np.ndarray) -> np.ndarray:
+    """Kernel values of one text's grams."""
+    at, n_dense = model.slots()[held].astype(np.int64), len(model.dense)
+    out = model.dense[at[(at >= 0) & (at < n_dense)]].sum(0)
+    at = at[at >= n_dense] - n_dense
+    n = model.first[at + 1] - model.first[at]
+    place = np.arange(n.sum()) + np.repeat(model.first[at] - np.cumsum(n) + n, n)
+    return (out + np.bincount(model.lists[place], minlength=len(model.roots))) / model.roots / np.sqrt(max(1, len(held)))
+
+
+def labelled_sample(docs: DataFrame, per_language: int | None = None) -> list[tuple[str, np.ndarray]]:
+    """(language, grams) of the labelled texts with the smallest hashes in each language, in the order of hashes. Hashes are ranked
+    first; texts are then read for the chosen ones and stay where they are."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_003))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    names = list(sizes)
+    # Equal rows have equal hashes and count once.
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(3)).alias("_k"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not sizes:
+        return []
+    per_language = per_language or max(LEAST_PER_LANGUAGE, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(sizes)))
     # Of a large language only the lowest hashes are ranked, four times as many as are wanted, so that no task gets all its rows.
-    shares = [x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, 4.0 * per_language / n)))]
-    low = (key / 1_000_003.0) <= (F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(1.0))
-    ranked = rows.filter(F.col("lang").isin(names) if names else F.lit(False)).filter(low).select("doc_id", "lang", key.alias("_k"))
-    chosen = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k", "doc_id"))).filter(F.col("_r") <= per_language).select("doc_id", "_k").distinct()
-    # Bounded by MOST_LANGUAGES x per_language ids.
-    found = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("lang").isin(names) if names else F.lit(False)).select("_k", "doc_id", "lang", F.substring("text", 1, MOST_BYTES).alias("text"))
-    return sorted((r for r in found.collect() if r["text"]), key=lambda r: (r["_k"], r["doc_id"], r["text"]))
+    shares = F.create_map(*[x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, 4.0 * per_language / n)))])
+    part = (F.shiftrightunsigned("_k", 32) / float(1 << 32)) <= F.element_at(shares, F.col("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_k"))
+    ranked = rows.filter(part).select("lang", "_k").distinct().withColumn("_r", place).filter(F.col("_r") <= per_language).drop("_r")
+    found = rows.join(F.broadcast(ranked), ["lang", "_k"]).select("lang", "_k", "text")  # bounded by rows of a sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in (x for batch in batches for x in bounded_pieces(batch, "text")):
+            held = pa.array([grams(x.lower().encode()) for x in some.column(2).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), held], names=["lang", "k", "grams"])
+
+    once = found.mapInArrow(run, "lang string, k long, grams array<int>").groupBy("lang", "k").agg(F.first("grams").alias("grams"))
+    got = once.toArrow()
+    order = np.argsort(np.asarray(got.column("k")), kind="stable").tolist()
+    langs, held = got.column("lang").to_pylist(), got.column("grams").combine_chunks()
+    ends, flat = np.asarray(held.offsets), np.asarray(held.values)
+    return [(langs[i], flat[ends[i] : ends[i + 1]]) for i in order]
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> KernelModel | None:
+def train(docs: DataFrame, per_language: int | None = None) -> KernelModel | None:
     rows = labelled_sample(docs, per_language)
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    return fit_grams([g for _, g in rows], [x for x, _ in rows])
 
 
 def identify(docs: DataFrame, model: KernelModel | None, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -183,4 +232,4 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(fold(4) != 2))
     rows = identify(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return rows.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

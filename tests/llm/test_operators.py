@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, components, decontamination, html_text, jaccard, langid, neighbours, quality, sharding, token_files, warc
+from corvane.llm import bpe, components, decontamination, html_text, jaccard, langid, neighbours, pieces, quality, sharding, token_files, warc
 from corvane.llm.shared import table, table_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,6 +57,18 @@ def test_bpe_long_fragments(library):
         assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_table_forgets_and_stays_right(library):
+    """Few slots: new keys meet in them, and the table is emptied again and again."""
+    rng = np.random.default_rng(6)
+    coder = bpe.ForcedBoundaryBPE(bpe.default_tokenizer())
+    coder.fragments = pieces.PieceTable(coder._encode_fragments, bits=9, most=250)
+    for _ in range(30):
+        texts = ["".join(rng.choice(list("abcdefgh éñ'\n1.")) for _ in range(int(rng.integers(0, 90)))) for _ in range(12)]
+        raw = [t.encode() for t in texts]
+        ids, first = coder.rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [x.tolist() for x in np.split(ids, first[1:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_forced_cuts_lie_in_no_token():
     coder = bpe.coder(bpe.default_tokenizer())
     raw = "a,b é日".encode()
@@ -178,6 +190,50 @@ def test_kernel_is_the_presence_kernel():
     assert np.isclose(model.kernels(np.frombuffer(raw, np.uint8), np.array([0, 4]))[0, 0], len(ours & theirs) / np.sqrt(len(ours) * len(theirs)))
 
 
+def plain_margins(train, names, landmarks, asked, ridge=1e-2):
+    """Margins of kernel ridge regression by sets of n-grams and dense matrices."""
+    grams = lambda t: {t.lower().encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.lower().encode()) - n + 1)}
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    sets, known = [grams(t) for t in train], sorted(set(names))
+    chosen = [i for x in known for i in [k for k, y in enumerate(names) if y == x][:landmarks]]
+    inner = np.array([[kernel(sets[i], sets[j]) for j in chosen] for i in chosen])
+    values, vectors = np.linalg.eigh(inner)
+    whiten = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    x = np.array([[kernel(s, sets[j]) for j in chosen] for s in sets]) @ whiten
+    y = np.array([[1.0 if n == k else -1.0 for k in known] for n in names])
+    w = np.sqrt(1 / np.array([names.count(n) for n in names]))[:, None]
+    solved = np.linalg.solve((x * w).T @ (x * w) + ridge * np.eye(x.shape[1]), (x * w).T @ (y * w))
+    return known, np.array([[kernel(grams(t), sets[j]) for j in chosen] for t in asked]) @ whiten @ solved
+
+
+@pytest.mark.parametrize("share", [1, 16, 10_000])
+def test_language_margins_are_the_plain_ones(spark, monkeypatch, share):
+    """Whatever part of the grams is dense."""
+    monkeypatch.setattr(langid, "DENSE_SHARE", share)
+    rows = [r for r in table(spark, SMALL, "documents").orderBy("doc_id").collect() if r["text"] and r["lang"]]
+    some, asked = rows[:60], [r["text"] for r in rows[60:90]] + ["", "a", "ñ日"]
+    known, want = plain_margins([r["text"] for r in some], [r["lang"] for r in some], 4, asked)
+    model = langid.fit([r["text"] for r in some], [r["lang"] for r in some], 4)
+    raw = [t.lower().encode() for t in asked]
+    got = model.margins(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert model.languages == known and np.allclose(got, want, atol=2e-3)
+    sizes = [len(r) > 0 for r in raw]
+    assert (got.argmax(1) == want.argmax(1))[sizes].all()
+
+
+def test_every_language_is_learned(spark):
+    """Seventy languages, some of very few rows, of long texts: none is left out, no text is cut."""
+    rng = np.random.default_rng(11)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + int(x)) for x in rng.integers(0, 40, 3))
+    rows = [(70 * i + k, " ".join(["."] * 12_000 * (k == 0)) + " " + " ".join(word(k) for _ in range(30)), "x%02d" % k) for i in range(3) for k in range(70)]
+    docs = spark.createDataFrame(rows + rows[:70], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 70
+    got = langid.identify(docs, model, ("lang",)).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+    assert langid.labelled_sample(docs, 2)[0][1].dtype == np.int32 and len(langid.labelled_sample(docs, 2)) == 140
+
+
 def test_language_cases(spark, odd, empty):
     model = langid.train(table(spark, SMALL, "documents"))
     rows = langid.identify(odd, model).collect()
@@ -406,8 +462,54 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.read(spark, path + "-empty").count() == 0
 
 
+def test_warc_records_refer_to_records(spark, monkeypatch):
+    """Every identifier stands once, and a revisit names that of a response; repeated rows and null ids included."""
+    monkeypatch.setattr(warc, "SEGMENT_CHARS", 300)
+    body = "<p>some words</p>" * 60
+    pages = [(3, "u", body), (3, "u", body), (3, "v", body), (5, "u", body), (None, "u", body), (4, None, "tiny"), (4, None, "tiny"), (None, "w", "x" * 200), (None, "w", "x" * 200)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = table_path(spark, "test-warc-ids")
+    warc.write(frame, path)
+    heads = [f for r in spark.read.format("binaryFile").load(path).filter("path like '%.gz'").collect() for f, _ in warc.parse(warc.inflated(bytes(r["content"]), 50))]
+    names = [f["warc-record-id"] for f in heads]
+    assert len(set(names)) == len(names)
+    responses = {f["warc-record-id"] for f in heads if f["warc-type"] == "response"}
+    revisits = [f for f in heads if f["warc-type"] == "revisit"]
+    assert len(revisits) == 5 and {f["warc-refers-to"] for f in revisits} <= responses
+    rows = warc.read(spark, path).collect()
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in rows)
+    assert got == sorted([("3", "response", "None"), ("3", "revisit", "3"), ("3", "revisit", "3"), ("5", "revisit", "3"), ("None", "revisit", "3"), ("4", "response", "None"), ("4", "response", "None"), ("None", "response", "None"), ("None", "revisit", "None")])
+    assert all(r["payload_bytes"] in (len(body), 4, 200) for r in rows)
+
+
+def test_parts_of_an_archive():
+    """A file in any parts, in one gzip member or several, gives the same records; a file that is cut raises."""
+    import gzip
+
+    whole = "".join(x + warc.BETWEEN for i in range(5) for x in warc.records(i, "u", "<p>é</p>" * i * 9, 9 * len("<p>é</p>".encode()) * i, "d%d" % i, None, 0)).encode()
+    want = list(warc.parse([whole]))
+    assert len(want) == 5
+    for step in (1, 7, 1 << 20):
+        assert list(warc.parse(warc.inflated(whole, step))) == want
+        assert list(warc.parse(warc.inflated(gzip.compress(whole[:900]) + gzip.compress(whole[900:]), step))) == want
+    for bad in (whole[:-3], whole[:40], b"x" + whole):
+        with pytest.raises(ValueError):
+            list(warc.parse([bad]))
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.inflated(gzip.compress(whole)[:-20])))
+
+
 def test_warc_table(spark):
-    assert warc.op7_warc(spark, SMALL).count() == table(spark, SMALL, "pages").count()
+    """Against digests and smallest ids by pandas."""
+    pages = table(spark, SMALL, "pages").toPandas()
+    raw = pages["html"].fillna("").map(str.encode)
+    pages["digest"], pages["n"] = raw.map(lambda x: hashlib.sha256(x).hexdigest()), raw.map(len)
+    pages["first"] = pages.groupby("digest")["page_id"].transform("min")
+    got = {r["page_id"]: r for r in warc.op7_warc(spark, SMALL).collect()}
+    assert len(got) == len(pages)
+    for p in pages.itertuples():
+        again = p.n >= 100 and p.first != p.page_id
+        assert (got[p.page_id]["payload_bytes"], got[p.page_id]["payload_digest"], got[p.page_id]["record_type"], got[p.page_id]["refers_to"]) == (p.n, p.digest, "revisit" if again else "response", p.first if again else None)
 
 
 def test_segments_and_chunks():
@@ -531,6 +633,7 @@ def test_decontamination_finds_what_is_there(spark):
 
 
 def test_pruning_loses_no_item():
+    """Against scores of every item in every passage; and blocks that cannot reach the threshold are really skipped."""
     rng = np.random.default_rng(2)
     vocabulary = ["w%d" % i for i in range(80)]
     items = [" ".join(rng.choice(vocabulary, int(rng.integers(4, 20)))) for _ in range(50)]
@@ -546,13 +649,57 @@ def test_pruning_loses_no_item():
         mine = hashes[first[r] : first[r + 1]].tolist()
         for p in range(len(mine) // index.longest + 1):
             terms = {place[h] for h in mine[p * index.longest : (p + 2) * index.longest] if h in place}
-            for i in range(50):
-                s = sum(weight.get((t, i), 0) for t in terms)
+            every = {i: sum(weight.get((t, i), 0) for t in terms) for i in range(50)}
+            for i, s in every.items():
                 if s >= 0.5 - 1e-9:
                     want[r, i] = max(want.get((r, i), 0), s)
+            # The traversal alone, with all blocks left.
+            found = dict(decontamination.block_max_wand(index, np.array(sorted(terms), np.int64), np.arange(7)))
+            assert set(found) == {i for i, s in every.items() if s >= 0.5 - 1e-9}
     assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
 
 
+def plain_overlap(item, document):
+    """Shares of the 3-word runs of an item's question and answer in a document, by words and lists alone."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
+    inside = cut(document)
+    runs = {tuple(inside[i : i + 3]) for i in range(len(inside))}
+    shares = []
+    for side in decontamination.question_and_answer(item):
+        w = cut(side)
+        mine = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        shares.append(sum(x in runs if len(x) == 3 else set(x) <= set(inside) for x in mine) / len(mine))
+    return shares
+
+
+def test_verified_pairs_are_the_plain_ones(spark):
+    """Every pair over the score, verified by plain lists of words, and no other."""
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, SMALL, "documents").collect()}
+    items = [(r["item_id"], r["text"]) for r in table(spark, SMALL, "benchmark").collect()]
+    found = {(r["doc_id"], r["item_id"]): (r["question_overlap"], r["answer_overlap"]) for r in decontamination.op9_decontamination(spark, SMALL).collect()}
+    index = decontamination.build([i for i, _ in items], [t for _, t in items])
+    texts = dict(items)
+    ids = list(docs)
+    row, item, _ = decontamination.retrieve(index, *decontamination.words(*decontamination.packed([docs[i] for i in ids])))
+    want = {}
+    for r, i in zip(row.tolist(), item.tolist()):
+        shares = plain_overlap(texts[index.ids[i]], docs[ids[r]])
+        if min(shares) >= 0.5:
+            want[ids[r], index.ids[i]] = shares
+    assert set(found) == set(want) and all(np.allclose(found[k], want[k]) for k in want)
+
+
+def test_null_items_and_parts(spark):
+    docs = spark.createDataFrame([(7, "So, the Quick brown fox jumps over a lazy dog! Then"), (None, "one two three four five six seven")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the quick brown fox jumps over a lazy dog"), (None, "one two three four five six seven"), (3, "the quick brown fox jumps over a lazy dog")], "item_id long, text string")
+    want = [(None, None), (7, None), (7, 3)]
+    for size in (decontamination.INDEX_BYTES, 40):
+        got = [(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items, size).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_decontamination_cases(spark, odd, empty):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog"), (2, None), (3, ""), (4, "...")], "item_id long, text string").withColumn("score", F.lit(1))
     assert decontamination.contaminated(odd, items).count() == 0
@@ -582,10 +729,10 @@ def test_decontamination_weights_do_not_depend_on_parts(spark):
         out = {}
         for index in (x for part in parts for x in part):
             term = np.repeat(index.terms, np.diff(index.first))
-            out.update({(int(index.ids[i]), int(t)): float(w) for i, t, w in zip(index.items, term, index.weights)})
+            out.update({(index.ids[i], int(t)): float(w) for i, t, w in zip(index.items, term, index.weights)})
         return out
 
-    whole, parts = decontamination.item_parts(items), decontamination.item_parts(items, 20_000)
+    whole, parts = list(decontamination.item_parts(items)), list(decontamination.item_parts(items, 20_000))
     assert len(whole) == 1 and len(parts) > 3
     want, got = weights(whole), weights(parts)
     assert set(want) == set(got) and all(np.isclose(got[k], want[k]) for k in want)
