@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; a component is named by its smallest node.
 
     ``links`` has (a, b). Rounds of large-star and small-star steps: each node's larger
     neighbours move to its smallest one, then its smaller ones do. Every round is a
     written table, so lineage stays short and lost executors cost a read; the number of
-    rounds grows with the logarithm of a component's width. Smallest neighbours are found by an
+    rounds grows with the logarithm of a component's width, and they end when one changes nothing. Smallest neighbours are found by an
     aggregate and joined back, so a node with very many links is pre-aggregated and its
     join can be split.
     """
     edges = written(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: (larger neighbour, smallest).

@@ -12,16 +12,15 @@ the smallest id that links reach.
    ordered from rare to frequent, both must then share one of their first
    ``n - ceil(0.75 n) + 1``. Shingles of a single set come first and match nothing, so most documents
    drop out here, and passages that many documents share stand last.
-3. Stars. Within a bucket (documents with the same prefix shingle) every document is
-   verified against the smallest id. Components of these links join nearly all groups of copies
-   without looking at their pairs.
-4. The rest. Buckets that still hold documents of different components are searched
-   with an R-tree over count vectors: shingles are hashed into groups, a document is the
-   point of its group counts, and the overlap of two documents is at most the sum of
-   their coordinates' minima; for a node of the tree, of the point's and the upper
-   corner's. Large buckets are cut into blocks, each pair of which is a task. Surviving pairs are verified
-   exactly. No pair of different components is left out, so none of the links that make
-   components is lost.
+3. Count vectors. Shingles are hashed into groups and a document is the point of its group counts; the overlap of two documents is
+   at most the sum of their coordinates' minima, and for a node of an R-tree over such points that of the point's and
+   the upper corner's. Documents that share a bucket (a prefix shingle) with the same smallest id are one group; a group's
+   R-tree names for each document the smallest id that its bound leaves. These pairs are verified exactly; they join nearly
+   all copies without a look at each pair.
+4. The rest. Buckets that still hold documents of different components are searched with an R-tree for all pairs across
+   components, which are verified exactly. Large groups and buckets are cut into blocks, and of a bucket each pair of blocks is a
+   task. No pair of different components is left out, so none of the links that make components is lost; links
+   within a component are neither enumerated nor counted, as a group of copies has the square of its size of them.
 
 Equal sets are one node with the smallest id of their documents from step 2 on.
 
@@ -256,18 +255,14 @@ def prefix_table(docs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets are similar enough, by exact intersection.
+    """The pairs (a, b) of ``pairs`` whose sets are similar enough, by exact intersection. Sets travel only for pairs that count
+    vectors have left."""
 
-    Sets travel only for pairs that their count vectors leave."""
+    def side(x: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}"))
 
-    def side(x: str, *columns: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-
-    sizes = F.col("n_a") + F.col("n_b")
-    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    some = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").filter(7 * most >= 3 * sizes).select("a", "b")
     both = F.size(F.array_intersect("shared_a", "shared_b"))
-    return some.join(side("a", "n", "shared"), "a").join(side("b", "n", "shared"), "b").filter(100 * both >= 75 * (sizes - both)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= 75 * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def count_vectors(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -307,14 +302,48 @@ class CountTree:
         return (4 * large >= 3 * size) & (3 * small <= 4 * size) & (7 * overlap >= 3 * (size + np.maximum(small, -(-3 * size // 4))))
 
 
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order by the columns, and its runs of rows that are equal in all but the last of them."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns[:-1]], axis=0)
+    cut = np.flatnonzero(new)
+    return order, list(zip(cut.tolist(), [*cut[1:].tolist(), len(order)]))
+
+
+def _points(rows: pa.Table) -> np.ndarray:
+    return np.asarray(rows.column("counts").combine_chunks().flatten()).reshape(-1, COORDINATES)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
+
+
+def _group_pairs(rows: pa.Table) -> pa.Table:
+    """For each document of a block of a group the smallest id that the count vectors leave."""
+    hub, block, node, n = (np.asarray(rows.column(x).combine_chunks()) for x in ("hub", "block", "node", "n"))
+    points = _points(rows)
+    order, runs = _runs(hub, block, node)
+    a, b = [], []
+    for lo, hi in runs:
+        some = order[lo:hi]
+        tree = CountTree(points[some], n[some])
+        for k, x in enumerate(some[1:].tolist(), 1):  # the nodes of a run ascend
+            low = tree.near(points[x], int(n[x])).min(initial=k)
+            if low < k:
+                a.append(node[some[low]])
+                b.append(node[x])
+    return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
 def _bucket_pairs(rows: pa.Table) -> pa.Table:
     """Pairs of different components in a bucket that the count vectors do not rule out."""
     key, i, j, block, node, n, comp = (np.asarray(rows.column(x).combine_chunks()) for x in ("key", "i", "j", "block", "node", "n", "component"))
-    points = np.asarray(rows.column("counts").combine_chunks().flatten()).reshape(-1, COORDINATES)
-    order = np.lexsort((node, j, i, key))
-    cut = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])]))
+    points = _points(rows)
+    order, runs = _runs(key, i, j, node)
     a, b = [], []
-    for lo, hi in zip(cut, np.append(cut[1:], len(order))):
+    for lo, hi in runs:
         some = order[lo:hi]
         across = i[some[0]] != j[some[0]]
         left = some[block[some] == i[some[0]]]
@@ -328,8 +357,20 @@ def _bucket_pairs(rows: pa.Table) -> pa.Table:
             if len(found):
                 a.append(np.minimum(node[x], node[found]))
                 b.append(np.maximum(node[x], node[found]))
-    none = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
+    return _pairs(a, b)
+
+
+def group_pairs(buckets: DataFrame, open_nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates that the R-trees of groups find, one a document and group at most."""
+    stars = written(buckets.filter("node != hub").select("hub", "node").distinct(), "shingle-groups")
+    # A large group is cut into blocks; its smallest id stands in each.
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = stars.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
+    parts = max(1, math.ceil(stars.count() / PART_ROWS))
+    dealt = members.unionByName(hubs).join(open_nodes.select("node", "n", "counts"), "node")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("hub", "block"), F.lit(parts)).cast("int"))
+    return dealt.groupBy("part").applyInArrow(_group_pairs, "a long, b long").distinct()
 
 
 def join_sets(sets: DataFrame) -> DataFrame:
@@ -337,22 +378,21 @@ def join_sets(sets: DataFrame) -> DataFrame:
     rows = sets.filter("n > 0 and doc_id is not null")
     nodes = written(rows.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max(F.struct("prefix", "shared", "counts")).alias("p")).select("node", "n", "d1", "d2", "copies", "p.prefix", "p.shared", "p.counts"), "shingle-nodes")
     open_nodes = nodes.filter("prefix > 0").select("node", "n", "prefix", "shared", "counts")
-    bucket = open_nodes.select(F.explode(F.array_distinct(F.slice("shared", F.lit(1), F.col("prefix")))).alias("key"), "node", "n")
-    hubs = bucket.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    buckets = written(bucket.join(hubs, "key").select("key", "node", "n", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle-buckets")
-    stars = buckets.filter("node != hub and 4 * n >= 3 * hub_n and 3 * n <= 4 * hub_n").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(linked(stars, open_nodes), "shingle-links")
+    bucket = open_nodes.select(F.explode(F.array_distinct(F.slice("shared", F.lit(1), F.col("prefix")))).alias("key"), "node")
+    hubs = bucket.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    buckets = written(bucket.join(hubs, "key").select("key", "node", "members", "hub"), "shingle-buckets")
+    links = written(linked(group_pairs(buckets, open_nodes), open_nodes), "shingle-links")
     found = written(components(links), "shingle-components")
     # Buckets that hold several components still, each membership once.
     known = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("members").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig")).filter("low != high")
     left = left.groupBy("sig", "members", "low", "high").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rest = known.select("key", "node", "n", "component").join(left, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = known.select("key", "node", "component").join(left, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = written(rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component"), "shingle-rest")
+    rest = written(rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component"), "shingle-rest")
     # Small buckets share a task; each pair of blocks of a large one is its own key.
     parts = max(1, math.ceil(rest.count() / PART_ROWS))
-    dealt = rest.join(open_nodes.select("node", "counts"), "node").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).cast("int"))
+    dealt = rest.join(open_nodes.select("node", "n", "counts"), "node").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).cast("int"))
     pairs = dealt.groupBy("part").applyInArrow(_bucket_pairs, "a long, b long").distinct()
     more = written(linked(pairs, open_nodes), "shingle-links")
     if not more.isEmpty():

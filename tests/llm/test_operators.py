@@ -623,6 +623,34 @@ def test_components(spark, pairs):
     assert {r["node"]: r["component"] for r in components.components(frame).collect()} == want
 
 
+def test_components_of_a_long_path(spark):
+    rng = np.random.default_rng(12)
+    order = rng.permutation(3_000).tolist()
+    frame = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {(r["node"], r["component"]) for r in components.components(frame).collect()} == {(i, 0) for i in range(3_000)}
+
+
+def test_the_tree_supplies_the_candidates(spark, monkeypatch):
+    """Every verified pair was named by an R-tree; bounds leave few that are no links; and without trees there are none."""
+    seen = []
+
+    def spy(pairs, nodes, real=jaccard.linked):
+        links = real(pairs, nodes)
+        seen.append((pairs.count(), links.count()))
+        return links
+
+    monkeypatch.setattr(jaccard, "linked", spy)
+    docs = table(spark, SMALL, "documents")
+    want = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    (pairs, links), (more, more_links) = seen
+    assert links > 0 and pairs < 4 * links and more_links <= more
+    assert len(set(want.values())) <= len(want) - links
+    seen.clear()
+    monkeypatch.setattr(jaccard, "_group_pairs", lambda rows: jaccard._pairs([], []))
+    monkeypatch.setattr(jaccard, "_bucket_pairs", lambda rows: jaccard._pairs([], []))
+    assert all(r["component_id"] in want for r in jaccard.jaccard_components(docs).collect()) and seen == [(0, 0), (0, 0)]
+
+
 # 9: decontamination
 
 
