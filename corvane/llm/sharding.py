@@ -9,15 +9,16 @@ fit. With the capacity found, cuts are placed as evenly as it allows.
 The order makes a cut a digest: a row's shard is the number of cut digests not above
 its own, so neither a join nor a shuffle on a (possibly hot) text is needed.
 
-The driver never holds all groups. They are summed by blocks of digests (at most
-65,536, one number each); a step of the greedy check finds its block among these
-sums and asks for the groups of that block alone, of which a few are kept.
+The driver never holds all groups. They are summed by the first digits of their digests, at most 4,096 sums at once; a step
+of the greedy check goes down these sums, asks for those of the part in which the byte that it looks for lies, and
+only for a part of ``PART_GROUPS`` groups or fewer for the groups themselves. What it has seen is kept up to ``KEPT`` numbers, so
+neither memory nor what one job brings depends on the number of groups.
 
 Law ``bytes``: sizes near equal as far as groups allow. A group larger than a
 sixteenth of all bytes makes a shard of its own size.
 
 Cases: null and empty texts have size 1 and form one group; repeated rows stay
-together, each with its own slot; fewer groups than shards leave shards empty; an
+together, each with its own slot, and a null ``doc_id`` is one like others; fewer groups than shards leave shards empty; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -25,61 +26,78 @@ from __future__ import annotations
 
 import bisect
 import math
+from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import table, written
 
-BLOCK_GROUPS, MOST_BITS, KEPT_BLOCKS, SLOT_ROWS = 4_096, 16, 512, 20_000
+#: Digits that a step goes down; groups of a part that are read one by one, and of all parts that are read ahead; numbers that are kept.
+DIGITS, PART_GROUPS, AHEAD_GROUPS, KEPT, SLOT_ROWS = 3, 2_048, 40_000, 200_000, 20_000
+
+
+@dataclass
+class Part:
+    """What lies under a digest's first digits: prefixes one step longer, or whole digests, in order; where each ends in bytes, from
+    the part's own beginning; and how many groups each holds."""
+
+    names: list[str]
+    ends: list[int]
+    groups: list[int]
 
 
 class GroupSizes:
-    """Prefix sums of group sizes in digest order, read block by block."""
-
-    def __init__(self, groups: DataFrame, bits: int):
-        self.bits = bits
-        block = F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")
-        self.groups = groups.withColumn("block", F.shiftright(block, 16 - bits))
-        totals = self.groups.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.count("*").alias("n")).collect()  # at most 65,536 rows
-        self.blocks = sorted((r["block"], r["bytes"], r["n"]) for r in totals)
-        self.most = max((r["most"] for r in totals), default=0)
-        self.before = [0]
-        for _, b, _ in self.blocks:
-            self.before.append(self.before[-1] + b)
-        self.total = self.before[-1]
-        self.kept: dict[int, tuple[list[int], list[str]]] = {}
-
-    def load(self, indexes: list[int]) -> None:
-        """Boundaries and digests of some blocks, in one job; a bounded number stays."""
-        wanted = sorted({i for i in indexes if i not in self.kept})[:KEPT_BLOCKS]
-        if not wanted:
-            return
-        if len(self.kept) + len(wanted) > KEPT_BLOCKS:
-            self.kept.clear()
-        place = {self.blocks[i][0]: i for i in wanted}
-        rows: dict[int, list[tuple[str, int]]] = {i: [] for i in wanted}
-        for r in self.groups.filter(F.col("block").isin(list(place))).select("block", "digest", "bytes").collect():
-            rows[place[r["block"]]].append((r["digest"], r["bytes"]))
-        for i, found in rows.items():
-            found.sort()
-            ends, at = [self.before[i]], self.before[i]
-            for _, b in found:
-                at += b
-                ends.append(at)
-            self.kept[i] = ends, [d for d, _ in found]
-
-    def _block(self, x: int) -> int:
-        return min(max(bisect.bisect_right(self.before, x) - 1, 0), len(self.blocks) - 1)
+    """Prefix sums of group sizes in digest order, read part by part."""
+
+    def __init__(self, groups: DataFrame):
+        self.groups = groups
+        self.parts: dict[str, Part] = {}
+        self.kept = 0
+        self.most = groups.agg(F.max("bytes")).first()[0] or 0
+        self._read([""], False)
+        self.total = self.parts[""].ends[-1]
+
+    def _read(self, prefixes: list[str], whole: bool) -> None:
+        """Reads parts with one job: of ``whole`` ones the groups, of the others sums by the next digits."""
+        width = len(prefixes[0])
+        rows = self.groups if not width else self.groups.filter(reduce(or_, [F.col("digest").startswith(p) for p in prefixes]) if len(prefixes) < 64 else F.substring("digest", 1, width).isin(prefixes))
+        name = F.col("digest") if whole else F.substring("digest", 1, width + DIGITS)
+        found: dict[str, list] = {p: [] for p in prefixes}
+        for r in rows.groupBy(name.alias("name")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect():
+            found[r["name"][:width]].append((r["name"], r["bytes"], r["n"]))
+        for p, got in found.items():
+            got.sort()
+            self.parts[p] = Part([x for x, _, _ in got], [0, *accumulate(b for _, b, _ in got)], [n for _, _, n in got])
+            self.kept += len(got)
+
+    def _part(self, prefix: str, groups: int) -> Part:
+        if prefix not in self.parts:
+            if self.kept > KEPT:
+                self.parts = {"": self.parts[""]}
+                self.kept = len(self.parts[""].names)
+            self._read([prefix], groups <= PART_GROUPS)
+        return self.parts[prefix]
+
+    def _leaf(self, x: int) -> tuple[Part, int]:
+        """The part of whole digests in which byte ``x`` lies, and where it begins."""
+        part, base = self.parts[""], 0
+        while True:
+            k = min(max(bisect.bisect_right(part.ends, x - base) - 1, 0), len(part.names) - 1)
+            if len(part.names[k]) == 64:
+                return part, base
+            base += part.ends[k]
+            part = self._part(part.names[k], part.groups[k])
 
     def below(self, x: int) -> int:
         """The last boundary between groups at or before byte ``x``."""
         if x >= self.total:
             return self.total
-        i = self._block(x)
-        self.load([i])
-        ends = self.kept[i][0]
-        return ends[bisect.bisect_right(ends, x) - 1]
+        part, base = self._leaf(x)
+        return base + part.ends[bisect.bisect_right(part.ends, x - base) - 1]
 
     def above(self, x: int) -> int:
         """The first boundary at or after byte ``x``."""
@@ -87,31 +105,28 @@ class GroupSizes:
             return 0
         if x >= self.total:
             return self.total
-        i = self._block(x)
-        self.load([i])
-        ends = self.kept[i][0]
-        return ends[bisect.bisect_left(ends, x)]
+        part, base = self._leaf(x)
+        return base + part.ends[bisect.bisect_left(part.ends, x - base)]
 
     def digest_at(self, boundary: int) -> str | None:
         """Digest of the group that begins at a boundary."""
         if boundary >= self.total:
             return None
-        i = self._block(boundary)
-        self.load([i])
-        ends, digests = self.kept[i]
-        return digests[bisect.bisect_left(ends, boundary)]
+        part, base = self._leaf(boundary)
+        return part.names[bisect.bisect_left(part.ends, boundary - base)]
 
     def near(self, shards: int) -> None:
-        """Read the blocks in which cuts can fall, if they are few, in one job."""
+        """Reads the parts in which cuts can fall ahead, if they are few, in one job."""
         low = max(self.most, -(-self.total // shards))
         high = -(-self.total // shards) + self.most
-        wanted: set[int] = set()
+        top, wanted = self.parts[""], set()
         for j in range(1, shards):
-            for a in range(self._block(max(0, j * (low - self.most))), self._block(min(self.total, j * high)) + 1):
-                wanted.add(a)
-                if sum(self.blocks[i][2] for i in wanted) > 100 * BLOCK_GROUPS or len(wanted) > KEPT_BLOCKS // 2:
-                    return
-        self.load(sorted(wanted))
+            first, last = (bisect.bisect_right(top.ends, x) - 1 for x in (max(0, j * (low - self.most)), min(self.total, j * high)))
+            wanted.update(range(first, min(last, len(top.names) - 1) + 1))
+            if sum(top.groups[k] for k in wanted) > AHEAD_GROUPS:
+                return
+        if wanted and max(top.groups[k] for k in wanted) <= PART_GROUPS:
+            self._read([top.names[k] for k in sorted(wanted)], True)
 
 
 def cuts(sizes: GroupSizes, shards: int) -> tuple[int, list[int]]:
@@ -163,9 +178,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_column(F.col("text")).alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("digest"))
     rows = written(rows, "shard-rows")  # 60 bytes a row: texts are read once
     n = rows.count()
-    bits = min(MOST_BITS, max(4, math.ceil(math.log2(max(1, n) / BLOCK_GROUPS)) if n > BLOCK_GROUPS else 4))
     groups = written(rows.groupBy("digest").agg(F.sum("size").alias("bytes")).sort("digest"), "shard-groups")
-    sizes = GroupSizes(groups, bits)
+    sizes = GroupSizes(groups)
     _, at = cuts(sizes, shards)
     starts = [d for b in at if (d := sizes.digest_at(b)) is not None]
     # Equal cut digests: shards that stay empty.

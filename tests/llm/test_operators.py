@@ -325,6 +325,22 @@ def test_cuts_are_minimax(sizes, shards):
     assert edges == sorted(edges) and max(b - a for a, b in zip(edges, edges[1:])) == capacity
 
 
+@pytest.mark.parametrize(("part", "ahead", "kept"), [(2_048, 40_000, 200_000), (3, 0, 50)])
+def test_group_sizes_in_parts(spark, monkeypatch, part, ahead, kept):
+    """Boundaries are the plain ones, however few groups may be read at once."""
+    for name, value in (("PART_GROUPS", part), ("AHEAD_GROUPS", ahead), ("KEPT", kept), ("DIGITS", 1)):
+        monkeypatch.setattr(sharding, name, value)
+    rng = np.random.default_rng(9)
+    rows = sorted((hashlib.sha256(b"%d" % i).hexdigest(), int(rng.integers(1, 40))) for i in range(300))
+    sizes = sharding.GroupSizes(spark.createDataFrame(rows, "digest string, bytes long"))
+    ends = [0, *np.cumsum([b for _, b in rows]).tolist()]
+    sizes.near(16)
+    assert sizes.total == ends[-1] and sizes.most == max(b for _, b in rows)
+    for x in rng.integers(0, ends[-1], 25).tolist():
+        assert sizes.below(x) == ends[bisect.bisect_right(ends, x) - 1] and sizes.above(x) == ends[bisect.bisect_left(ends, x)]
+        assert sizes.digest_at(sizes.below(x)) == rows[bisect.bisect_right(ends, x) - 1][0]
+
+
 def check_shards(rows, texts):
     by = {}
     for r in rows:
