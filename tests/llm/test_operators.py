@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, components, decontamination, html_text, jaccard, langid, neighbours, pieces, quality, sharding, token_files, warc
+from corvane.llm import bpe, components, decontamination, html_text, jaccard, langid, neighbours, pieces, quality, shared, sharding, token_files, warc
 from corvane.llm.shared import table, table_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -798,6 +798,50 @@ def test_quality_on_the_held_out_fold(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) >= 0.93 * len(held)
 
 
+def test_votes_are_the_plain_ones(spark):
+    """Scores against a plain version: cosines of all pairs in double precision, sorted, one text after the other."""
+    data = "/root/testdata/sf0.001"
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    labels = table(spark, data, "labels").select("doc_id", "quality")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        [(terms, values)] = quality.term_rows(raw, np.array([0, len(raw)]), model.vocabulary)
+        x = np.zeros(len(model.axes))
+        for t, v in zip(terms.tolist(), values.tolist()):
+            if model.column[t] >= 0:
+                x[model.column[t]] = v
+        x = x @ model.axes.astype(float)
+        cosines = sorted(((float(c), y) for c, y in zip(model.vectors.astype(float) @ (x / (np.linalg.norm(x) or 1)), model.labels)), key=lambda p: -p[0])[: quality.NEIGHBOURS]
+        weights = [max(c, 0) ** quality.SHARPNESS for c, _ in cosines]
+        want = sum(w * y for w, (_, y) in zip(weights, cosines)) / sum(weights) if sum(weights) else model.mean
+        assert np.isclose(got[r["doc_id"]], want, atol=2e-3)
+
+
+def test_axes_and_terms_are_the_plain_ones():
+    import re
+
+    text = "The cat, the hat! The CAT\nsat"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    the, cat, odd = (int.from_bytes(x, "big") for x in (b"the", b"cat", b"zzz"))
+    one = lambda w: int(shared.SpanHasher(np.frombuffer(w, np.uint8))(np.array([0]), np.array([len(w)]))[0])
+    words = sorted([one(b"the"), one(b"cat"), one(b"none")])
+    vocabulary = quality.Vocabulary(np.array(sorted([the, cat, odd])), np.array(words, np.uint64))
+    [(terms, values)] = quality.term_rows(raw, np.array([0, len(raw)]), vocabulary)
+    held = {int(t) - quality.SHAPES: round(float(np.expm1(v))) for t, v in zip(terms, values) if t >= quality.SHAPES}
+    want = {k: len(re.findall(x.to_bytes(3, "big").decode(), text.lower())) for k, x in enumerate(vocabulary.trigrams.tolist())}
+    want |= {3 + k: text.lower().split().count({one(b"the"): "the", one(b"cat"): "cat", one(b"none"): "none"}[w]) for k, w in enumerate(words)}
+    assert held == {k: n for k, n in want.items() if n}
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(90, 4)) @ rng.normal(size=(4, 30)) + 0.01 * rng.normal(size=(90, 30))
+    rows = [(np.arange(30, dtype=np.int32), r.astype(np.float32)) for r in x]
+    axes = quality.latent_axes(rows, np.arange(30), np.ones(30, np.float32), 4)
+    best = np.linalg.svd(x / np.linalg.norm(x, axis=1, keepdims=True))[2][:4]
+    assert np.allclose(np.abs(best @ axes), np.eye(4), atol=1e-2)
+    assert quality.ranked_area(np.array([0.1, 0.4, 0.4, 0.9]), np.array([0.0, 0.0, 1.0, 1.0])) == 0.875
+
+
 def test_quality_cases(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (7, None), (99, 1)], "doc_id long, quality int")
     model = quality.train(odd, labels)
