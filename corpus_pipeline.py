@@ -21,7 +21,7 @@ LEAST_QUALITY = quality.THRESHOLD
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold go. Labels are learned from the rows of
-    ``documents`` outside the held-out fold."""
+    ``documents`` outside the held-out fold; a row without an id is scored, but never learned from."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.train(docs.select("doc_id", "text"), labels.filter(langid.fold(5) != 0))
     return quality.score(whole_rows(docs), model, ("row",)).filter(F.col("score") >= LEAST_QUALITY).select("row.*")
@@ -35,7 +35,7 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letter, as the classifier gives them no language; also if no
-    row names a language, so that nothing can be learned."""
+    row names a language, so that nothing can be learned. A row without an id is identified, but never learned from."""
     model = langid.train(docs.filter(langid.fold(4) != 2))
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -43,13 +43,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest id stays; of rows with that id, the first by text."""
+    """Of documents that links join, the one with the smallest id stays; of rows with that id, the one whose columns hash lowest. A
+    document without an id is linked with nothing and stays."""
     parts = jaccard.jaccard_components(docs.select("doc_id", "text"))
     # Ids that go are joined by id: each meets one row or few.
     gone = written(parts.filter("doc_id != component_id").select("doc_id").distinct(), "near-copies")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Ids that repeat are one document: the row whose text hashes lowest stays.
-    hashed = F.xxhash64("text")
+    # Ids that repeat are one document. The hash covers every column, so rows that share it are equal, whichever stays.
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     again = written(docs.filter("doc_id is not null").select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n > 1").select("doc_id", "h"), "repeated-ids")
     if again.isEmpty():
         return kept
@@ -58,7 +59,7 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. A document without an id cannot be named and stays."""
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(written(found.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
