@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.errors import QuerySyntaxError
 from corvane.functions.edits import fuzzy_reaches
-from corvane.functions.patterns import glob_to_regex
+from corvane.functions.patterns import glob_to_regex, word_regex
 from corvane.functions.stem import stem
 from corvane.functions.text import fold_accents_text, words_of
 from corvane.plans import language as q
@@ -50,7 +54,8 @@ class Matcher:
                 case q.Wildcard(glob):
                     patterns.append(glob_to_regex(glob))
                 case q.Pattern(regex):
-                    patterns.append(f"^(?:{regex})$")
+                    with suppress(QuerySyntaxError):
+                        patterns.append(word_regex(regex))
                 case q.Boosted(inner, _) | q.Required(inner):
                     visit(inner)
             for child in getattr(n, "parts", ()):
@@ -61,7 +66,7 @@ class Matcher:
 
     def matches(self, word: str) -> bool:
         w = word.lower()
-        return _stem(w) in self.stems or any(fuzzy_reaches(t, w, n) for t, n in self.fuzzy) or any(re.fullmatch(p.strip("^$"), w) for p in self.patterns)
+        return _stem(w) in self.stems or any(fuzzy_reaches(t, w, n) for t, n in self.fuzzy) or any(_whole(p, w) for p in self.patterns)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Matched stretches of a text, in order, without overlaps."""
@@ -83,6 +88,15 @@ class Matcher:
         return bool(self.spans(text))
 
 
+@functools.lru_cache(100_000)
+def _whole(pattern: str, word: str) -> bool:
+    """Whether a whole word matches, in time linear in the word; a pattern that is no pattern matches nothing."""
+    try:
+        return pc.match_substring_regex(pa.array([word]), pattern)[0].as_py()
+    except pa.ArrowInvalid:
+        return False
+
+
 def _stem(word: str) -> str:
     return stem(fold_accents_text(word))
 

@@ -20,7 +20,7 @@ from corvane.functions.text import fold_accents, words, words_of
 from corvane.plans import language as q
 from corvane.sources.kinds import CATEGORIES
 
-VERSION = 1
+VERSION = 2
 EXACT = {"kind", "collection", "parent_id", "source"}
 TEXT = {"title", "author", "heading_path", "path"}
 NUMBERS = {"page", "slide", "line", "chunk_seq", "mtime", "created", "size", "n_chars"}
@@ -54,20 +54,20 @@ def field_postings(chunks: DataFrame, field: str, column: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 some = batch.slice(lo, 200)
-                terms, owner, tf, places, dl = [], [], [], [], []
-                for k, held in enumerate(some.column(2).to_pylist()):
-                    at: dict[str, list[int]] = {}
-                    for i, w in enumerate(held):
-                        at.setdefault(w, []).append(i)
-                    terms += at
-                    owner += [k] * len(at)
-                    dl += [len(held)] * len(at)
-                    for p in at.values():
-                        tf.append(len(p))
-                        places += p
-                ends = pa.array(np.concatenate([[0], np.cumsum(tf)]).astype(np.int32))
-                who = pa.array(owner, pa.int64())
-                columns = [pa.array([field] * len(terms), pa.string()), pa.array(terms, pa.string()), some.column(0).take(who), some.column(1).take(who), pa.array(tf, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())), pa.array(dl, pa.int32())]
+                held = some.column(2)
+                ends = np.asarray(held.offsets).astype(np.int64)
+                flat = held.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+                codes, dl = np.asarray(flat.indices).astype(np.int64), np.diff(ends)
+                row = np.repeat(np.arange(len(dl)), dl)
+                places = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], dl)
+                key = row * max(1, len(flat.dictionary)) + codes
+                order = np.argsort(key, kind="stable")  # places of a term stay in order
+                first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+                tf = np.diff(np.append(first, len(key)))
+                owner = row[order][first]
+                positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(places[order].astype(np.int32)))
+                who = pa.array(owner)
+                columns = [pa.array([field] * len(first), pa.string()), flat.dictionary.take(pa.array(codes[order][first])), some.column(0).take(who), some.column(1).take(who), pa.array(tf.astype(np.int32)), positions, pa.array(dl[owner].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["field", "term", "parent_id", "chunk_seq", "tf", "positions", "dl"])
 
     return rows.mapInArrow(run, POSTINGS.format(seq=chunks.schema["chunk_seq"].dataType.simpleString()))
@@ -97,7 +97,11 @@ def write_index(chunks: DataFrame, path: str, fields: dict[str, str] | None = No
     postings = spark.read.parquet(f"{base}/postings")
     postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")).sort("field", "term").write.parquet(f"{base}/terms")
     sizes = postings.groupBy("field").agg(F.sum("tf").alias("total"))
-    sizes.crossJoin(kept.agg(F.count("*").alias("n"))).select("field", "n", (F.col("total") / F.col("n")).alias("mean")).write.parquet(f"{base}/fields")
+    n = kept.count()
+    sizes.select("field", F.lit(n).cast("long").alias("n"), (F.col("total") / F.lit(n)).alias("mean")).write.parquet(f"{base}/fields")
+    # Values that a query may name: a filter by one that is not there is an error, which no search should need a scan to find.
+    named = [kept.select(F.lit(c).alias("field"), F.col(c).alias("value")).distinct() for c in ("collection", "kind") if c in kept.columns]
+    (reduce(DataFrame.unionByName, named) if named else spark.createDataFrame([], "field string, value string")).coalesce(1).write.parquet(f"{base}/values")
     spark.createDataFrame([(VERSION, generation, stems)], "version int, generation int, stems boolean").coalesce(1).write.parquet(f"{path}/manifest/g={generation}")
     return SearchIndex.open(spark, path)
 
@@ -198,6 +202,8 @@ class SearchIndex(FieldPredicates):
         self.postings = spark.read.parquet(f"{base}/postings")
         self.terms = spark.read.parquet(f"{base}/terms")
         self._fields = spark.read.parquet(f"{base}/fields")
+        self._values = spark.read.parquet(f"{base}/values")
+        self._named: dict[str, list[str]] | None = None
         self._stats: dict[str, tuple[int, float]] | None = None
         self.stemmed_fields = frozenset({"body"} if stems else ())
 
@@ -220,6 +226,14 @@ class SearchIndex(FieldPredicates):
             self._stats = {r["field"]: (r["n"], r["mean"]) for r in self._fields.collect()}
         return self._stats
 
+    def named_values(self, field: str) -> list[str]:
+        """Collections or kinds that chunks have, as counted when the index was built."""
+        if self._named is None:
+            self._named = {}
+            for r in self._values.filter(F.col("value").isNotNull()).collect():
+                self._named.setdefault(r["field"], []).append(r["value"])
+        return sorted(self._named.get(field, []))
+
     def frequencies(self, pairs: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """Document frequencies of a query's terms, in one small job."""
         if not pairs:
@@ -243,13 +257,26 @@ def scope(chunks: DataFrame, arms: list[tuple[str, str | None]] | None) -> DataF
     return chunks.filter(reduce(lambda a, b: a | b, [(F.col("collection") == c) & (F.lit(True) if s is None else F.col("source") == s) for c, s in arms]))
 
 
-def overlap_free(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Of two hits next to each other in a file, the lower-ranked goes if the match lies in what both hold: here, if
-    its chunk repeats at least half of its text."""
+def overlap_free(hits: DataFrame, chunks: DataFrame, matcher) -> DataFrame:
+    """Of two hits next to each other in a file the lower-ranked goes, if all its matches lie in the stretch that both hold.
+    ``hits`` has (parent_id, chunk_seq, order), the better the smaller; the bodies of their files only are read."""
+    import pyarrow as pa
+
     from corvane.sources.chunking import repeats
 
-    marked = repeats(chunks.join(hits.select("parent_id").distinct(), "parent_id", "left_semi")).select("parent_id", "chunk_seq", "repeated", F.length("body").alias("n"))
-    rows = hits.join(marked, ["parent_id", "chunk_seq"])
+    files = F.broadcast(hits.select("parent_id").distinct())  # the files of an answer
+    bodies = repeats(chunks.join(files, "parent_id", "left_semi").select("parent_id", "chunk_seq", "body"), None)
     side = Window.partitionBy("parent_id").orderBy("chunk_seq")
-    earlier = (F.lag("chunk_seq").over(side) == F.col("chunk_seq") - 1) & (F.lag("score").over(side) >= F.col("score"))
-    return rows.filter(~F.coalesce(earlier & (2 * F.col("repeated") >= F.col("n")), F.lit(False))).drop("repeated", "n")
+    bodies = bodies.withColumn("after", F.coalesce(F.lead("repeated").over(side), F.lit(0)))
+    rows = hits.select("parent_id", "chunk_seq", "order").join(bodies, ["parent_id", "chunk_seq"])
+    before, after = (F.when(f("chunk_seq").over(side) == F.col("chunk_seq") + d, f("order").over(side)) for f, d in ((F.lag, -1), (F.lead, 1)))
+    # How much of its beginning and its end a better neighbour shows already.
+    rows = rows.select("parent_id", "chunk_seq", "body", F.when(before < F.col("order"), F.col("repeated")).otherwise(0).alias("head"), F.when(after < F.col("order"), F.col("after")).otherwise(0).alias("tail")).filter("head > 0 or tail > 0")
+
+    def run(batches):
+        for b in batches:
+            gone = [bool(matcher.has_any(t)) and not matcher.has_any(t[h : len(t) - e]) for t, h, e in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["parent_id", "chunk_seq"]).filter(pa.array(gone, pa.bool_()))
+
+    seq = hits.schema["chunk_seq"].dataType.simpleString()
+    return hits.join(rows.mapInArrow(run, f"parent_id string, chunk_seq {seq}"), ["parent_id", "chunk_seq"], "left_anti")

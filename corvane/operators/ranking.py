@@ -25,13 +25,24 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return some.withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))
 
 
-def fuse(passes: list[tuple[str, DataFrame, float]], depth: int = 1_000) -> DataFrame:
+def ranks(hits: DataFrame) -> DataFrame:
+    """The same ranks for any number of hits: distinct scores are counted, numbered within bands of score, and the bands, a few
+    thousand at most, are summed in order. So no task sees all hits."""
+    scores = hits.groupBy("score").agg(F.count("*").alias("n")).withColumn("band", F.floor(F.least(F.col("score"), F.lit(1_000.0)) * 4))
+    bands = scores.groupBy("band").agg(F.sum("n").alias("n"))
+    above = bands.select("band", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = scores.withColumn("_w", within).join(F.broadcast(above), "band").select("score", (F.col("above") + F.col("_w") + 1).alias("rank"))
+    return hits.join(places, "score")
+
+
+def fuse(passes: list[tuple[str, DataFrame, float]], depth: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of named, weighted passes: (parent_id, chunk_seq, rank_score, score, source).
 
     The score shown is the best of any pass. The source is the phrase pass if it found the hit, else the
-    pass that ranked it best, the heavier one on a tie.
+    pass that ranked it best, the heavier one on a tie. With a ``depth`` each pass gives its so many best only.
     """
-    rows = [ranked(hits.select(*KEYS, "score"), depth).withColumns({"source": F.lit(name), "weight": F.lit(float(weight))}) for name, hits, weight in passes]
+    rows = [(ranked(hits.select(*KEYS, "score"), depth) if depth else ranks(hits.select(*KEYS, "score"))).withColumns({"source": F.lit(name), "weight": F.lit(float(weight))}) for name, hits, weight in passes]
     every = reduce(DataFrame.unionByName, rows)
     order = F.struct((F.col("source") != "phrase").cast("int"), F.col("rank"), -F.col("weight"), F.col("source"))
     return every.groupBy(*KEYS).agg(F.sum(scoring.reciprocal(F.col("rank"), F.col("weight"))).alias("rank_score"), F.max("score").alias("score"), F.min_by("source", order).alias("source"))

@@ -183,12 +183,17 @@ class Compiler:
         return self._leaf(self._field_for_patterns(), [self.glob_terms(glob, self._field_for_patterns())], blended=not re.fullmatch(r"[^*?]+\*", glob))
 
     def _pattern(self, regex: str) -> tuple[Column, Column, bool]:
+        """A pattern that is none, or that needs backtracking, matches nothing."""
         fld = self._field_for_patterns()
         rows = self.index.dictionary(fld)
+        try:
+            whole = word_regex(regex)
+        except QuerySyntaxError:
+            return self._leaf(fld, [])
         heads = literal_prefixes(regex)
         if heads:
             rows = rows.filter(reduce(lambda a, b: a | b, [F.col("term").startswith(h) for h in heads]))
-        found = [r["term"] for r in rows.filter(F.col("term").rlike(word_regex(regex))).select("term").orderBy("term").limit(MOST_VARIANTS).collect()]
+        found = [r["term"] for r in matching_terms(rows, whole).select("term").orderBy("term").limit(MOST_VARIANTS).collect()]
         return self._leaf(fld, [found], blended=True)
 
     def fuzzy_terms(self, word: str, most: int) -> list[str]:
@@ -200,6 +205,24 @@ class Compiler:
         return sorted(r["term"] for r in found if fuzzy_reaches(typed, r["term"], most))
 
 
+def matching_terms(rows: DataFrame, pattern: str) -> DataFrame:
+    """Rows of a dictionary whose whole term matches, in time that grows with the term's length whatever the pattern; a pattern that
+    this dialect does not know matches nothing."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid:
+        return rows.limit(0)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pc.match_substring_regex(batch.column(0), pattern))
+
+    return rows.select("term").mapInArrow(run, "term string")
+
+
 def scored(index, compiled: Compiled) -> DataFrame:
     """(parent_id, chunk_seq, score) of all chunks that match, before filters."""
     if not compiled.leaves:

@@ -185,11 +185,11 @@ def kinds_of_files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(kinds.kind(F.concat(F.lit("/x/y."), suffix)).alias("kind")).groupBy("kind").agg(F.count("*").alias("files"))
 
 
-@query("sections_of_files", scored_sql(f"SELECT doc_id, round(sum(score), 6) AS score FROM s WHERE term IN ('{A}', '{B}') AND doc_id % 7 = 0 GROUP BY doc_id"))
+@query("sections_of_files", scored_sql(f"SELECT doc_id, round(sum(score), 6) AS score FROM s WHERE term IN ('{A}', '{B}') AND doc_id IN (SELECT doc_id FROM labels) GROUP BY doc_id"))
 def sections_of_files(spark, sf_dir):
-    """Scores of given sections only: the keys are a semi join on the hits."""
+    """Scores of given sections only, here of labelled documents: the keys are a semi join on the hits."""
     index = documents_index(spark, sf_dir)
-    keys = index.chunks.filter("doc_id % 7 = 0").select(*KEYS)
+    keys = index.chunks.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(*KEYS)
     return answer(index, found(index, f"{A} {B}").join(keys, KEYS, "left_semi"))
 
 
