@@ -96,3 +96,13 @@ def aligned(typed: str, word: str) -> list[bool]:
         else:
             j -= 1
     return kept
+
+
+def typed_fuzzy_reaches(stem: str, word: str, typed_stem: str, typed: str, most: int) -> bool:
+    """Whether a typed ``word~N`` admits a token: its stem is near the typed one's, or its word near the word as typed."""
+    return fuzzy_reaches(typed_stem, stem, most) or bool(word) and fuzzy_reaches(typed, word, most)
+
+
+def closest_typed(word: str, typed: list[str]) -> str | None:
+    """The first of the typed words with the smallest distance from a word."""
+    return min(typed, key=lambda t: levenshtein_within(t, word, max(len(t), len(word))), default=None)

@@ -12,13 +12,13 @@ def glob_to_regex(glob: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob) + "$"
 
 
-def glob_mask(glob: str, word: str) -> list[bool]:
-    """For each letter of a matched word, whether the glob names it."""
+def glob_mask(glob: str, word: str) -> list[bool] | None:
+    """For each letter of a matched word, whether the glob names it; None for a word that does not match."""
     parts = [(c, c not in "*?") for c in glob]
     pattern = "".join(f"({re.escape(c)})" if named else "(.*?)" if c == "*" else "(.)" for c, named in parts)
     m = re.fullmatch(pattern, word)
     if not m:
-        return [False] * len(word)
+        return None
     mask = [False] * len(word)
     for k, (_, named) in enumerate(parts, 1):
         if named:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -59,3 +60,10 @@ class TagFilter:
         for t in self.exclude:
             out = out & ~F.array_contains(every, t)
         return out
+
+
+def source_selection(raw: list[str], sources: list[str]) -> dict[str, frozenset[str]]:
+    """Tags that name no source are claimed for every one; without tags there is no filter."""
+    found = ((re.sub(r"\s+", " ", re.sub(r"^#+", "", t.strip())).strip().lower())[:MOST_CHARS] for t in raw)
+    tags = frozenset(t for t in found if t)
+    return {s: tags for s in sources} if tags else {}

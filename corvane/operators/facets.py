@@ -38,3 +38,8 @@ def is_empty(chunks: DataFrame, collection: str) -> bool:
 def holding_removed(chunks: DataFrame, live: DataFrame) -> DataFrame:
     """Collections that still hold files which are gone."""
     return chunks.select("collection", "parent_id").distinct().join(live, "parent_id", "left_anti").select("collection").distinct()
+
+
+def files_matching(hits: DataFrame) -> DataFrame:
+    """One row: how many files have a hit."""
+    return hits.agg(F.countDistinct("parent_id").alias("files"))

@@ -73,36 +73,68 @@ def field_postings(chunks: DataFrame, field: str, column: str) -> DataFrame:
     return rows.mapInArrow(run, POSTINGS.format(seq=chunks.schema["chunk_seq"].dataType.simpleString()))
 
 
-def write_index(chunks: DataFrame, path: str, fields: dict[str, str] | None = None, stems: bool = False) -> "SearchIndex":
-    """A new generation with all of ``chunks``. With ``stems`` a field ``body`` of stems stands beside ``words``."""
-    spark = chunks.sparkSession
-    fields = {f: c for f, c in (fields or DEFAULT_FIELDS).items() if c in chunks.columns}
-    generation = latest(spark, path) + 1
-    base = f"{path}/gen={generation}"
-    chunks.write.parquet(f"{base}/chunks")
-    kept = spark.read.parquet(f"{base}/chunks")
-    postings = reduce(DataFrame.unionByName, [field_postings(kept, f, c) for f, c in fields.items()])
+def postings_of(chunks: DataFrame, fields: dict[str, str], stems: bool) -> DataFrame:
+    """Postings of all fields. With ``stems`` a field ``body`` of stems stands beside ``words``."""
+    postings = reduce(DataFrame.unionByName, [field_postings(chunks, f, c) for f, c in fields.items()])
     if stems:
         vocabulary = postings.filter(F.col("field") == "words").select("term").distinct()
         plain = postings.filter(F.col("field") == "words").drop("field")
         # Both spellings of a stem in one chunk are one posting.
         body = plain.join(stemmed(vocabulary), "term").groupBy("stem", "parent_id", "chunk_seq", "dl").agg(F.sum("tf").cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
         postings = postings.unionByName(body.select(F.lit("body").alias("field"), F.col("stem").alias("term"), "parent_id", "chunk_seq", "tf", "positions", "dl"))
+    return postings
+
+
+def write_index(chunks: DataFrame, path: str, fields: dict[str, str] | None = None, stems: bool = False, files: DataFrame | None = None) -> "SearchIndex":
+    """A new generation with all of ``chunks``; ``files`` (parent_id, path, mtime, ctime) are what it was made from, if it is to be kept up to date."""
+    spark = chunks.sparkSession
+    fields = {f: c for f, c in (fields or DEFAULT_FIELDS).items() if c in chunks.columns}
+    base = f"{path}/gen={latest(spark, path) + 1}"
+    chunks.write.parquet(f"{base}/chunks")
+    postings = postings_of(spark.read.parquet(f"{base}/chunks"), fields, stems)
+    return _finished(spark, path, postings, fields, stems, files)
+
+
+def update_index(index: "SearchIndex", fresh: DataFrame, gone: DataFrame | None = None, files: DataFrame | None = None) -> "SearchIndex":
+    """A new generation in which the chunks of the files of ``fresh`` stand for what those files had, and the files of ``gone``
+    (parent_id) have none. Only fresh texts are taken apart: postings of the other files are those of the generation before."""
+    spark, path, fields = index.spark, index.path, index.fields
+    changed = fresh.select("parent_id").distinct()
+    if gone is not None:
+        changed = changed.unionByName(gone.select("parent_id")).distinct()
+    base = f"{path}/gen={latest(spark, path) + 1}"
+    fresh.write.parquet(f"{base}/fresh")
+    read = spark.read.parquet(f"{base}/fresh")
+    index.chunks.join(changed, "parent_id", "left_anti").unionByName(read, allowMissingColumns=True).write.parquet(f"{base}/chunks")
+    stems = bool(index.stemmed_fields)
+    postings = index.postings.join(changed, "parent_id", "left_anti").unionByName(postings_of(read, {f: c for f, c in fields.items() if c in read.columns}, stems))
+    return _finished(spark, path, postings, fields, stems, files)
+
+
+def _finished(spark: SparkSession, path: str, postings: DataFrame, fields: dict[str, str], stems: bool, files: DataFrame | None) -> "SearchIndex":
+    """Writes what follows from chunks and postings, and the manifest that makes the generation one."""
+    generation = latest(spark, path) + 1
+    base = f"{path}/gen={generation}"
+    kept = spark.read.parquet(f"{base}/chunks")
     # Ranges are found by reading the rows once more: they are written first, so that texts are taken apart once.
     postings.write.parquet(f"{base}/unsorted")
     postings = spark.read.parquet(f"{base}/unsorted")
     postings.repartitionByRange("field", "term", "parent_id").sortWithinPartitions("field", "term", "parent_id", "chunk_seq").write.parquet(f"{base}/postings")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/unsorted")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for done in ("unsorted", "fresh"):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{done}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     postings = spark.read.parquet(f"{base}/postings")
     postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")).sort("field", "term").write.parquet(f"{base}/terms")
-    sizes = postings.groupBy("field").agg(F.sum("tf").alias("total"))
     n = kept.count()
+    sizes = postings.groupBy("field").agg(F.sum("tf").alias("total"))
     sizes.select("field", F.lit(n).cast("long").alias("n"), (F.col("total") / F.lit(n)).alias("mean")).write.parquet(f"{base}/fields")
     # Values that a query may name: a filter by one that is not there is an error, which no search should need a scan to find.
     named = [kept.select(F.lit(c).alias("field"), F.col(c).alias("value")).distinct() for c in ("collection", "kind") if c in kept.columns]
     (reduce(DataFrame.unionByName, named) if named else spark.createDataFrame([], "field string, value string")).coalesce(1).write.parquet(f"{base}/values")
-    spark.createDataFrame([(VERSION, generation, stems)], "version int, generation int, stems boolean").coalesce(1).write.parquet(f"{path}/manifest/g={generation}")
+    if files is not None:
+        files.select("parent_id", "path", "mtime", "ctime").write.parquet(f"{base}/files")
+    manifest = (VERSION, generation, stems, files is not None, sorted(fields.items()))
+    spark.createDataFrame([manifest], "version int, generation int, stems boolean, has_files boolean, fields array<struct<field:string,column:string>>").coalesce(1).write.parquet(f"{path}/manifest/g={generation}")
     return SearchIndex.open(spark, path)
 
 
@@ -195,13 +227,16 @@ class FieldPredicates:
 class SearchIndex(FieldPredicates):
     """One generation of an index. Everything read through it is of that generation."""
 
-    def __init__(self, spark: SparkSession, path: str, generation: int, stems: bool, now: int = 0):
+    def __init__(self, spark: SparkSession, path: str, generation: int, stems: bool, fields: dict[str, str] | None = None, has_files: bool = False, now: int = 0):
         base = f"{path}/gen={generation}"
         super().__init__(spark.read.parquet(f"{base}/chunks"), now)
         self.spark, self.path, self.generation = spark, path, generation
         self.postings = spark.read.parquet(f"{base}/postings")
         self.terms = spark.read.parquet(f"{base}/terms")
         self._fields = spark.read.parquet(f"{base}/fields")
+        self.fields = fields or DEFAULT_FIELDS
+        #: What files the generation was made from, if that was said.
+        self.files = spark.read.parquet(f"{base}/files") if has_files else None
         self._values = spark.read.parquet(f"{base}/values")
         self._named: dict[str, list[str]] | None = None
         self._stats: dict[str, tuple[int, float]] | None = None
@@ -215,7 +250,7 @@ class SearchIndex(FieldPredicates):
         row = spark.read.parquet(f"{path}/manifest/g={n}").first()
         if row["version"] != VERSION:
             raise SchemaVersionError(f"the index is of version {row['version']}, this is version {VERSION}")
-        return cls(spark, path, n, row["stems"])
+        return cls(spark, path, n, row["stems"], {x["field"]: x["column"] for x in row["fields"]}, row["has_files"])
 
     def dictionary(self, field: str) -> DataFrame:
         return self.terms.filter(F.col("field") == field)

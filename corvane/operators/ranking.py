@@ -117,3 +117,9 @@ def blend(lexical: DataFrame, semantic: DataFrame, with_vectors: DataFrame, key:
     part = lambda x: F.when(x.isNotNull(), 1.0 / (scoring.RRF_K + 1 + x)).otherwise(0.0)
     second = F.when(F.col("has").isNull() & i.isNotNull(), i).otherwise(m)
     return rows.select(key, (part(i) + part(second)).alias("score"), "i", "m").orderBy(F.desc("score"), F.asc_nulls_last("i"), F.asc_nulls_last("m"), key)
+
+
+def first_seen(hits: DataFrame, score: str = "score") -> DataFrame:
+    """(parent_id, file_place): files in the order in which their best hits stand among all."""
+    best = hits.groupBy("parent_id").agg(F.max(F.struct(score, (-F.col("chunk_seq")).alias("s"))).alias("b"))
+    return ranks(best.select("parent_id", F.col("b")[score].alias("score"))).select("parent_id", F.col("rank").alias("file_place"))
