@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.suite import corpus, matching, more, rankings, streams  # noqa: F401
+from corvane.suite import corpus, matching, more, rankings, stored, streams  # noqa: F401
 from corvane.suite.common import ORACLES, QUERIES
 
 
