@@ -10,10 +10,11 @@ from corvane.functions.tags import ancestors
 MOST_TAGS = 500
 
 
-def tag_catalogue(files: DataFrame, tags: str = "tags", most: int = MOST_TAGS) -> DataFrame:
-    """(tag, files): distinct files, not chunks, of each tag; the commonest first."""
+def tag_catalogue(files: DataFrame, tags: str = "tags", most: int | None = MOST_TAGS) -> DataFrame:
+    """(tag, files): distinct files, not chunks, of each tag; the commonest first. ``most`` None gives all."""
     rows = files.select("parent_id", F.explode(F.array_distinct(F.col(tags))).alias("tag"))
-    return rows.groupBy("tag").agg(F.countDistinct("parent_id").alias("files")).orderBy(F.desc("files"), "tag").limit(most)
+    found = rows.groupBy("tag").agg(F.countDistinct("parent_id").alias("files")).orderBy(F.desc("files"), "tag")
+    return found if most is None else found.limit(most)
 
 
 def tag_tree(catalogue: DataFrame) -> DataFrame:

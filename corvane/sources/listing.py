@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import path_glob_to_regex
+from corvane.functions.patterns import IgnoreRules, path_glob_to_regex
 from corvane.sources import kinds
 
 #: Folders and files that are never content.
@@ -26,6 +27,7 @@ class Source:
     exclude_folders: tuple[str, ...] = ()
     hidden: bool = False
     kinds: tuple[str, ...] = field(default=())
+    ignore_names: tuple[str, ...] = (".gitignore", ".ignore")
 
 
 def any_of(path: Column, globs: tuple[str, ...]) -> Column:
@@ -52,6 +54,32 @@ def gate(source: Source, path: Column) -> Column:
     return ok
 
 
+def ignored(spark: SparkSession, root: str, files: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``files`` (rel) without those that ignore files of their folders name. Listings leave hidden files out, so the driver
+    looks for rules in each folder that holds files, and in those above it; their text decides for every path below. Paths alone go to Python."""
+    held = {r["folder"] for r in folders(files, None).collect()}
+    every = {"", *("/".join(f.split("/")[:i]) for f in held for i in range(1, f.count("/") + 2))}
+    jvm, rules = spark.sparkContext._jvm, IgnoreRules()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in sorted(every, key=lambda f: (f.count("/") + bool(f), f)):
+        for name in names:
+            at = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root, folder, name) if x))
+            if fs.exists(at):
+                stream = fs.open(at)
+                try:
+                    rules.add(folder, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                finally:
+                    stream.close()
+    if not rules.rules:
+        return files
+
+    @F.pandas_udf("boolean")
+    def kept(rel: pd.Series) -> pd.Series:
+        return ~rel.map(rules.ignores).astype(bool)
+
+    return files.filter(kept("rel"))
+
+
 def walk(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """(collection, source_ord, root, path, rel, kind, size, modified, content) of all files; content is read only if selected."""
     found = None
@@ -62,6 +90,7 @@ def walk(spark: SparkSession, sources: list[Source]) -> DataFrame:
         rel = F.substring(clean, F.lit(len(root.split("://")[-1].rstrip("/")) + 2), F.length(clean))
         rows = files.select(F.lit(s.collection).alias("collection"), F.lit(k).alias("source_ord"), F.lit(root).alias("root"), clean.alias("path"), rel.alias("rel"), kinds.kind(clean).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").cast("long").alias("modified"), "content")
         rows = rows.filter(gate(s, F.col("rel")))
+        rows = ignored(spark, root, rows, s.ignore_names) if s.ignore_names else rows
         found = rows if found is None else found.unionByName(rows)
     return found
 
@@ -72,8 +101,10 @@ def claimed(files: DataFrame, by: str = "path") -> DataFrame:
     return files.withColumn("_k", first).filter("_k = 1").drop("_k")
 
 
-def folders(files: DataFrame, most: int = 500) -> DataFrame:
-    return files.select(F.regexp_replace("rel", r"/?[^/]+$", "").alias("folder")).filter("folder != ''").distinct().orderBy("folder").limit(most)
+def folders(files: DataFrame, most: int | None = 500) -> DataFrame:
+    """Folders that hold files; ``most`` None gives all."""
+    found = files.select(F.regexp_replace("rel", r"/?[^/]+$", "").alias("folder")).filter("folder != ''").distinct().orderBy("folder")
+    return found if most is None else found.limit(most)
 
 
 def sampled_counts(files: DataFrame, most: int = 2_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring
-from corvane.operators import evidence, ranking, vectors, widening
+from corvane.operators import evidence, highlight, ranking, vectors, widening
 from corvane.plans import language as q
 from corvane.sources import chunking
 from corvane.suite.common import KEYS, NOW, SCORED, TOKENS, answer, document_chunks, documents_index, found, index_of, query, scored_sql, table, with_ids
@@ -213,10 +213,11 @@ def snippets(spark, sf_dir):
 
 @query("highlights")
 def highlights(spark, sf_dir):
+    """Runs of a phrase in the 50 best texts: its words and what stands between them."""
     index = documents_index(spark, sf_dir)
     tree = q.parse('"of the"').tree
     shown = evidence.materialised(ranking.top(found(index, '"of the"'), 50), index.chunks, "doc_id", "body")
-    return evidence.with_snippets(shown.select("doc_id", "body"), tree).select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.start", "m.end")
+    return highlight.with_runs(shown.select("doc_id", "body"), tree).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.start", "r.end", "r.style", "r.slot")
 
 
 @query("layered_search")
