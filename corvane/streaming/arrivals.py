@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corvane.streaming.indexer import update_files
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -34,18 +36,29 @@ def without_replays(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now goes through the stream into a table in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that is there now goes through the stream into a table under ``path``; nothing passes through the driver. A batch has its own
+    folder, which a batch that comes again writes anew. ``append`` answers with all batches, the other modes, whose batches state the whole
+    result or what changed of it, with the last."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int").parquet(path)
+    if mode != "append":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
-def keep_indexed(files: DataFrame, path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], rebuild: Callable[[DataFrame, str], None]) -> StreamingQuery:
-    """Every micro-batch of changed files replaces these files' chunks, as a new generation. Batches that come again write the same."""
+def keep_indexed(files: DataFrame, path: str, checkpoint: str, chunks_of: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Every micro-batch of changed files (parent_id, path, mtime, ctime ...) replaces these files' chunks, as a new generation. Batches
+    that come again find nothing changed."""
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            rebuild(chunk(batch), path)
+            update_files(batch, chunks_of, path)
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

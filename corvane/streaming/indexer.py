@@ -67,6 +67,20 @@ def bring_up_to_date(live: DataFrame, chunks_of: Callable[[DataFrame], DataFrame
     yield Event("done", done, total, index.generation if index else 0)
 
 
+def update_files(files: DataFrame, chunks_of: Callable[[DataFrame], DataFrame], path: str) -> int:
+    """The changed ones of some files, brought into the index; files that are not named stay. Gives the generation."""
+    spark = files.sparkSession
+    columns = ["parent_id", "path", "mtime", "ctime"]
+    index = SearchIndex.open(spark, path) if latest(spark, path) else None
+    known = index.files if index is not None and index.files is not None else spark.createDataFrame([], files.select(*columns).schema)
+    some = to_read(files, known)
+    if some.isEmpty():
+        return index.generation if index else 0
+    held = known.join(some.select("parent_id"), "parent_id", "left_anti").select(*columns).unionByName(some.select(*columns))
+    fresh = chunks_of(some)
+    return (write_index(fresh, path, files=held) if index is None else update_index(index, fresh, some.select("parent_id"), held)).generation
+
+
 def resumable(state: dict | None, known_collections: set[str], now: dt.datetime, most_hours: float = RESUME_HOURS) -> bool:
     """Whether a saved run should go on by itself: unfinished, of a collection that there is, and touched within the last hours."""
     if not state or not 0 <= state.get("files_completed", 0) < state.get("total_files", 0) or state.get("collection") not in known_collections:

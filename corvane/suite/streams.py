@@ -18,8 +18,7 @@ def _stream(spark, sf_dir):
 
 
 def _ended(spark, stream, name: str, mode: str = "complete"):
-    path = scratch(spark, f"checkpoint-{name}")
-    return arrivals.run_to_end(stream, f"{name}_{path[-12:]}", path, mode)
+    return arrivals.run_to_end(stream, scratch(spark, f"stream-{name}"), scratch(spark, f"checkpoint-{name}"), mode)
 
 
 @query("windowed_arrivals", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -105,6 +105,19 @@ def test_an_index_kept_up_to_date(spark, tmp_path):
     assert order[0]["parent_id"] == "f5" and order[0]["file_place"] == 1
 
 
+def test_a_stream_of_files_keeps_an_index(spark, tmp_path):
+    """Batches of files replace what these files had; the same files again change nothing."""
+    from corvane.streaming.arrivals import keep_indexed
+
+    schema = "parent_id string, path string, mtime long, ctime long, text string"
+    index, inbox = f"file://{tmp_path}/i", f"{tmp_path}/in"
+    for rows in ([("a", "/a", 1, 0, "one word"), ("b", "/b", 1, 0, "two words")], [("a", "/a", 2, 0, "other text")], [("a", "/a", 2, 0, "never read")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        keep_indexed(spark.readStream.schema(schema).parquet(inbox), index, f"{tmp_path}/c", chunks_of).awaitTermination()
+    got = SearchIndex.open(spark, index)
+    assert got.generation == 2 and {(r["parent_id"], r["body"]) for r in got.chunks.collect()} == {("a", "other text"), ("b", "two words")}
+
+
 def test_resumable():
     now = dt.datetime(2024, 5, 1, 12, tzinfo=dt.timezone.utc)
     state = {"collection": "c", "total_files": 10, "files_completed": 4, "started_at": "2024-05-01T11:00:00"}
