@@ -20,6 +20,7 @@ from corvane.functions.stem import stem
 from corvane.functions.text import fold_accents_text, words_of
 from corvane.plans import language as q
 
+#: Letters of a snippet, from where on a text is long, and how much of a long one is looked through.
 SNIPPET, LONG_BODY, REGION = 240, 24_000, 6_000
 WORD = re.compile(r"[^\W_]+")
 

@@ -279,8 +279,10 @@ class SearchIndex(FieldPredicates):
         wanted = reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("term").isin(ts) for f, ts in by.items()])
         return {(r["field"], r["term"]): r["df"] for r in self.terms.filter(wanted).collect()}
 
-    def file_chunks(self, parent_id: str, most: int = 5_000) -> DataFrame:
-        return self.chunks.filter(F.col("parent_id") == parent_id).orderBy("chunk_seq").limit(most)
+    def file_chunks(self, parent_id: str, most: int | None = 5_000) -> DataFrame:
+        """Chunks of one file in order; ``most`` None gives all."""
+        rows = self.chunks.filter(F.col("parent_id") == parent_id).orderBy("chunk_seq")
+        return rows if most is None else rows.limit(most)
 
 
 def scope(chunks: DataFrame, arms: list[tuple[str, str | None]] | None) -> DataFrame:
