@@ -153,18 +153,20 @@ def present_kinds(spark, sf_dir):
     return facets.present_kinds(document_chunks(spark, sf_dir).select("kind").unionByName(pages.select("kind")))
 
 
+#: An index of all but German documents, beside live files that are the longer ones.
 def _halves(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime"), (F.col("doc_id") % 4).alias("ctime"), "source")
-    return docs.filter("parent_id % 3 != 0"), docs.filter("parent_id % 2 = 0")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime"), (F.col("n_chars") % 4).alias("ctime"), "source", "lang", "n_chars")
+    indexed, live = docs.filter("lang != 'de'"), docs.filter("n_chars >= 1000")
+    return indexed.drop("lang", "n_chars"), live.drop("lang", "n_chars")
 
 
-@query("prune_diff", "SELECT doc_id AS parent_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0 AND source <> 'src5'")
+@query("prune_diff", "SELECT doc_id AS parent_id FROM documents WHERE lang <> 'de' AND n_chars < 1000 AND source <> 'src5'")
 def prune_diff(spark, sf_dir):
     indexed, live = _halves(spark, sf_dir)
     return maintenance.stale(indexed, live, ["/src5"]).select("parent_id")
 
 
-@query("unchanged_skip", "SELECT doc_id AS parent_id FROM documents WHERE doc_id % 2 = 0 AND (doc_id % 3 = 0 OR n_chars % 5 = 0)")
+@query("unchanged_skip", "SELECT doc_id AS parent_id FROM documents WHERE n_chars >= 1000 AND (lang = 'de' OR n_chars % 5 = 0)")
 def unchanged_skip(spark, sf_dir):
     indexed, live = _halves(spark, sf_dir)
     moved = live.withColumn("mtime", F.when(F.col("mtime") % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
@@ -173,8 +175,8 @@ def unchanged_skip(spark, sf_dir):
 
 @query(
     "membership_upsert",
-    """SELECT doc_id AS parent_id, 'a' AS collection, source FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0
-UNION ALL SELECT doc_id, 'a', 'new' FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b', source FROM documents WHERE doc_id % 3 <> 0""",
+    """SELECT doc_id AS parent_id, 'a' AS collection, source FROM documents WHERE lang <> 'de' AND n_chars < 1000
+UNION ALL SELECT doc_id, 'a', 'new' FROM documents WHERE n_chars >= 1000 UNION ALL SELECT doc_id, 'b', source FROM documents WHERE lang <> 'de'""",
 )
 def membership_upsert(spark, sf_dir):
     indexed, live = _halves(spark, sf_dir)
@@ -182,16 +184,16 @@ def membership_upsert(spark, sf_dir):
     return maintenance.after_index(before, "a", live.select("parent_id", F.lit("new").alias("source")))
 
 
-@query("upserted_chunks", "SELECT doc_id AS parent_id, 'old' AS version FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 2 = 0")
+@query("upserted_chunks", "SELECT doc_id AS parent_id, 'old' AS version FROM documents WHERE lang <> 'de' AND n_chars < 1000 UNION ALL SELECT doc_id, 'new' FROM documents WHERE n_chars >= 1000")
 def upserted_chunks(spark, sf_dir):
     indexed, live = _halves(spark, sf_dir)
     return maintenance.upserted(indexed.select("parent_id", F.lit("old").alias("version")), live.select("parent_id", F.lit("new").alias("version")))
 
 
-@query("extraction_misses", "SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+@query("extraction_misses", "SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'de')")
 def extraction_misses(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    return maintenance.extraction_misses(files, files.filter("doc_id % 3 = 0")).select("content_hash")
+    files = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return maintenance.extraction_misses(files, files.filter("lang = 'de'")).select("content_hash")
 
 
 @query("claimed_files", "SELECT source, min(doc_id) AS first_doc, count(*) AS files FROM documents GROUP BY source")

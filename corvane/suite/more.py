@@ -147,31 +147,31 @@ def shared_headings(spark, sf_dir):
     return ranking.shared_heading(rows).select(F.col("parent_id").alias("conv_id"), "shared")
 
 
-@query("membership_prune", "SELECT doc_id AS parent_id, collection, source FROM documents CROSS JOIN (SELECT unnest(['a', 'b']) AS collection) WHERE NOT (collection = 'a' AND doc_id % 4 = 1) AND NOT (collection = 'b' AND doc_id % 2 = 0)")
+@query("membership_prune", "SELECT doc_id AS parent_id, collection, source FROM documents CROSS JOIN (SELECT unnest(['a', 'b']) AS collection) WHERE NOT (collection = 'a' AND lang = 'en') AND NOT (collection = 'b' AND n_chars >= 1000)")
 def membership_prune(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), "source")
-    every = docs.select("parent_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("collection"), "source").filter("collection = 'a' OR parent_id % 2 = 1")
-    return maintenance.after_prune(every, "a", docs.filter("parent_id % 4 = 1"))[0].select("parent_id", "collection", "source")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), "source", "lang", "n_chars")
+    every = docs.select("parent_id", "n_chars", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("collection"), "source").filter("collection = 'a' OR n_chars < 1000").drop("n_chars")
+    return maintenance.after_prune(every, "a", docs.filter("lang = 'en'"))[0].select("parent_id", "collection", "source")
 
 
-@query("files_of_nothing", "SELECT doc_id AS parent_id FROM documents WHERE doc_id % 4 = 2")
+@query("files_of_nothing", "SELECT doc_id AS parent_id FROM documents WHERE lang = 'fr' AND n_chars >= 1000")
 def files_of_nothing(spark, sf_dir):
     """Files that a prune leaves without any collection."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), "source")
-    every = docs.select("parent_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("collection"), "source").filter("collection = 'a' OR parent_id % 2 = 1")
-    return maintenance.after_prune(every, "a", docs.filter("parent_id % 4 = 2"))[1]
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), "source", "lang", "n_chars")
+    every = docs.select("parent_id", "n_chars", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("collection"), "source").filter("collection = 'a' OR n_chars < 1000").drop("n_chars")
+    return maintenance.after_prune(every, "a", docs.filter("lang = 'fr'"))[1]
 
 
-@query("collections_with_removed", "SELECT DISTINCT source AS collection FROM documents WHERE doc_id % 97 = 5")
+@query("collections_with_removed", "SELECT DISTINCT source AS collection FROM documents WHERE lang = 'es'")
 def collections_with_removed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("source").alias("collection"))
-    return facets.holding_removed(docs, docs.filter("parent_id % 97 != 5").select("parent_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("source").alias("collection"), "lang")
+    return facets.holding_removed(docs, docs.filter("lang != 'es'").select("parent_id"))
 
 
-@query("cache_orphans", "SELECT sha256(text) AS content_hash FROM documents WHERE doc_id % 3 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 <> 1)")
+@query("cache_orphans", "SELECT sha256(text) AS content_hash FROM documents WHERE lang = 'es' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang <> 'es')")
 def cache_orphans(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    return maintenance.orphans(rows.filter("doc_id % 3 = 1"), rows.filter("doc_id % 3 != 1")).select("content_hash")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return maintenance.orphans(rows.filter("lang = 'es'"), rows.filter("lang != 'es'")).select("content_hash")
 
 
 @query("normal_tags", "SELECT DISTINCT lower(p_brand) AS tag FROM part")

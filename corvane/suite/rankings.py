@@ -265,10 +265,10 @@ def vector_blend(spark, sf_dir):
     return ranking.blend(lexical, near, rows.select(F.col("vec_id").alias("file_key"))).select("file_key", F.round("score", 6).alias("score"))
 
 
-@query("missing_vectors", "WITH t AS (SELECT DISTINCT sha1(array_to_string(string_split_regex(lower(trim(text)), '\\s+')[1:256], ' ')) AS text_key, doc_id FROM documents) SELECT DISTINCT text_key FROM t WHERE text_key NOT IN (SELECT text_key FROM t WHERE doc_id % 2 = 0)")
+@query("missing_vectors", "WITH t AS (SELECT DISTINCT sha1(array_to_string(string_split_regex(lower(trim(text)), '\\s+')[1:256], ' ')) AS text_key, doc_id, n_chars FROM documents) SELECT DISTINCT text_key FROM t WHERE text_key NOT IN (SELECT text_key FROM t WHERE n_chars >= 1000)")
 def missing_vectors(spark, sf_dir):
-    sections = table(spark, sf_dir, "documents").select("doc_id", "text", vectors.text_key(F.col("text")).alias("text_key"))
-    return vectors.missing(sections, sections.filter("doc_id % 2 = 0")).select("text_key")
+    sections = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", vectors.text_key(F.col("text")).alias("text_key"))
+    return vectors.missing(sections, sections.filter("n_chars >= 1000")).select("text_key")
 
 
 @query("embedded_sections")
