@@ -279,9 +279,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentMod
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     texts = written(texts, "quality-sample")
     vocabulary = vocabulary_of(texts)
-    rows = _terms_of(texts, vocabulary).collect()
-    rows.sort(key=lambda r: (r["key"], r["label"]))
-    return fit([(np.array(r["terms"], np.int32), np.array(r["vals"], np.float32)) for r in rows], np.array([r["label"] for r in rows], float), vocabulary)
+    # As arrays, not as rows: their terms are views of one array.
+    got = _terms_of(texts, vocabulary).toArrow()
+    keys, label = (np.asarray(got.column(c)) for c in ("key", "label"))
+    terms, values = (got.column(c).combine_chunks() for c in ("terms", "vals"))
+    ends, held, weights = np.asarray(terms.offsets), np.asarray(terms.values), np.asarray(values.values)
+    order = np.lexsort((label, keys))
+    return fit([(held[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]]) for i in order.tolist()], label[order].astype(float), vocabulary)
 
 
 def score(docs: DataFrame, model: LatentModel, extra: tuple[str, ...] = ("doc_id",), neighbours: int = NEIGHBOURS) -> DataFrame:
