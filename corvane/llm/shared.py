@@ -6,7 +6,6 @@ import atexit
 import ctypes
 import functools
 import gc
-import os
 import re
 import shutil
 import tempfile
@@ -16,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _local_root: str | None = None
 
@@ -92,10 +90,6 @@ def trim() -> None:
         pass
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def texts(column: pa.Array) -> list[str]:
     """Strings of an Arrow column; a null is an empty text."""
     return [x or "" for x in column.to_pylist()]
@@ -192,16 +186,3 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[ends_at[ends_at >= 0]] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
-
-
-def bytes_column(values: list) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def temp_free_env() -> None:
-    """Numerical libraries of a worker keep to one thread: Spark runs one task a core."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
