@@ -23,6 +23,8 @@ from corvane.sources.kinds import CATEGORIES, CATEGORY_OF_KIND, NOTE_KINDS
 
 KEYS = ["parent_id", "chunk_seq"]
 LIMIT, PER_FILE, WINDOW = 50, 5, 10
+#: Passes of a cascade after the literal one, in order.
+WIDER = ("fuzzy", "syn", "compound")
 
 
 @dataclass(frozen=True)
@@ -151,11 +153,11 @@ class Engine:
         """Very much commoner neighbours of words that few chunks have."""
         return {r["word"]: r["term"] for r in self.rare(words).collect()} if words else {}
 
-    def cascaded(self, query: str, least: int, **filters) -> DataFrame:
-        """Literal, near, synonym and compound passes, each only while there are fewer than ``least`` hits."""
-        return ranking.cascade([rows for _, rows in self._passes(query, least, **filters)])
+    def cascaded(self, query: str, least: int, wider: tuple[str, ...] = WIDER, **filters) -> DataFrame:
+        """Literal, near, synonym and compound passes, each only while there are fewer than ``least`` hits. ``wider``: which passes may follow the literal one."""
+        return ranking.cascade([rows for _, rows in self._passes(query, least, wider, **filters)])
 
-    def _passes(self, query: str, least: int, **filters) -> list[tuple[str, DataFrame]]:
+    def _passes(self, query: str, least: int, wider: tuple[str, ...] = WIDER, **filters) -> list[tuple[str, DataFrame]]:
         parsed = q.parse(strip_stopwords(query))
         passes = [("literal", self.hits(parsed, **filters))]
         if q.states_intent(parsed.text) or parsed.tree is None:
@@ -163,6 +165,8 @@ class Engine:
         words = q.plain_terms(parsed.tree)
         later = (("fuzzy", lambda: fuzzy_tree(parsed.tree, self._compiler())), ("syn", lambda: self.synonyms.expand(parsed.text)), ("compound", lambda: compound_tree(words[0]) if len(words) == 1 else None))
         for name, make in later:
+            if name not in wider:
+                continue
             if ranking.cascade([rows for _, rows in passes]).limit(least).count() >= least:
                 break
             if (tree := make()) is not None:
